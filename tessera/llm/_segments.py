@@ -32,6 +32,10 @@ from tessera.llm import _text as T
 from tessera.llm._store import ROW, written
 
 
+#: Distinct segments of one anchor above which its windows are filed one by one.
+HOT = 20_000
+
+
 @dataclass(frozen=True)
 class Spec:
     """words: units are words, else bytes; window: W; gram: k; piece: most windows of a segment."""
@@ -106,14 +110,19 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == T.U64 else values.astype(np.int64))
 
 
+def _paired(anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return T.mix(anchor + row.astype(T.U64) * T.U64(0xC2B2AE3D27D4EB4F))
+
+
 def _anchor_rows(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for part in T.text_slices(batch.column(1)):
                 row, anchor = Layout(part, spec).anchors()
-                if len(row):
-                    yield pa.record_batch([_long(keys[part.first + row]), _long(anchor)], [ROW, "anchor"])
+                if len(row):  # one line a row and anchor, so a line that a text repeats doesn't count for more
+                    _, first, n = np.unique(_paired(anchor, row), return_index=True, return_counts=True)
+                    yield pa.record_batch([_long(keys[part.first + row[first]]), _long(anchor[first]), _long(n)], [ROW, "anchor", "n"])
 
     return rows
 
@@ -123,9 +132,8 @@ def _listed(part: T.Slice, lists: pa.Array, row: np.ndarray, anchor: np.ndarray)
     offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
     flat = lists.values.to_numpy().view(T.U64)
     lo, hi = offsets[part.first], offsets[part.first + part.n]
-    owner = np.repeat(np.arange(part.n), np.diff(offsets[part.first : part.first + part.n + 1])).astype(T.U64)
-    salt = T.U64(0xC2B2AE3D27D4EB4F)
-    return np.isin(T.mix(anchor + row.astype(T.U64) * salt), T.mix(flat[lo:hi] + owner * salt))
+    owner = np.repeat(np.arange(part.n), np.diff(offsets[part.first : part.first + part.n + 1]))
+    return np.isin(_paired(anchor, row), _paired(flat[lo:hi], owner))
 
 
 def _segment_rows(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -203,19 +211,74 @@ def _engine_rows(engine: Engine, limit: int) -> Callable[[Iterator[pa.RecordBatc
     return rows
 
 
+def _unit_windows(spec: Spec, seg: bytes) -> tuple[np.ndarray, list[bytes] | bytes]:
+    """Hash of each window of a segment, and what its units are to be cut from."""
+    layout = Layout(T.Slice(0, np.frombuffer(seg, np.uint8), np.array([0, len(seg)])), spec)
+    return layout.window_hashes(), seg.split(b" ") if spec.words else seg
+
+
+def _window_rows(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(_row, start, offset, part): a number of its own for each window under its anchor."""
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, anchor, start = (batch.column(c)[i].as_py() for c in range(3))
+                hashes, _ = _unit_windows(spec, batch.column(3)[i].as_py())
+                own = T.mix(hashes ^ np.int64(anchor).view(T.U64))
+                n = len(own)
+                yield pa.record_batch([pa.array(np.full(n, row)), pa.array(np.full(n, start, np.int32)), pa.array(np.arange(n, dtype=np.int32)), _long(own)], [ROW, "start", "offset", "part"])
+
+    return rows
+
+
+def _single_rows(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each listed window of a segment as a segment of one window."""
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, start, seg, windows = (batch.column(c)[i].as_py() for c in range(4))
+                units = seg.split(b" ") if spec.words else seg
+                cut = [units[w["offset"] : w["offset"] + spec.window] for w in windows]
+                contents = [b" ".join(c) for c in cut] if spec.words else cut
+                yield pa.record_batch(
+                    [pa.array([row] * len(cut), pa.int64()), pa.array([w["part"] for w in windows], pa.int64()), pa.array([start + w["offset"] for w in windows], pa.int32()), pa.array(contents, pa.binary())],
+                    [ROW, "anchor", "start", "seg"],
+                )
+
+    return rows
+
+
+def split_hot(segments: DataFrame, spec: Spec) -> DataFrame:
+    """The segments, those under hot anchors replaced by their repeated windows, each under a number of its own."""
+    hot = written(segments.select("anchor", "seg_id").distinct().groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot")
+    if hot.isEmpty():
+        return segments
+    held = segments.join(hot, "anchor", "left_semi")
+    windows = held.select(ROW, "anchor", "start", "seg").mapInArrow(_window_rows(spec), f"{ROW} long, start int, offset int, part long")
+    again = windows.groupBy("part").count().where("count > 1").select("part")
+    listed = windows.join(again, "part").groupBy(ROW, "start").agg(F.collect_list(F.struct("offset", "part")).alias("windows"))
+    # A window's start is in one segment of its row only, so (_row, start) finds the segment.
+    singles = held.select(ROW, "start", "seg").join(listed, [ROW, "start"]).mapInArrow(_single_rows(spec), f"{ROW} long, anchor long, start int, seg binary")
+    cool = segments.join(hot, "anchor", "left_anti").select(ROW, "anchor", "start", "seg", "seg_id")
+    return written(cool.unionByName(singles.withColumn("seg_id", F.xxhash64("seg"))), "segments")
+
+
 def repeated_windows(docs: DataFrame, spec: Spec, engine: Engine, limit: int) -> DataFrame:
     """(_row, spans): for each row with repeated windows, structs of start, from and to.
 
     Windows ``start + from[i]`` to ``start + to[i] - 1`` of the row repeat.  ``docs`` has _row and text.
     """
     texts = docs.select(ROW, "text")
-    found = texts.mapInArrow(_anchor_rows(spec), f"{ROW} long, anchor long")
-    repeated = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    lists = found.join(repeated, "anchor").groupBy(ROW).agg(F.collect_set("anchor").alias("anchors"))
+    found = texts.mapInArrow(_anchor_rows(spec), f"{ROW} long, anchor long, n long")
+    repeated = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    lists = found.select(ROW, "anchor").join(repeated, "anchor").groupBy(ROW).agg(F.collect_list("anchor").alias("anchors"))
     segments = written(
         texts.join(lists, ROW).select(ROW, "text", "anchors").mapInArrow(_segment_rows(spec), f"{ROW} long, anchor long, start int, seg binary").withColumn("seg_id", F.xxhash64("seg")),
         "segments",
     )
+    segments = split_hot(segments, spec)
     distinct = segments.groupBy("anchor", "seg_id", "seg").agg(F.count(F.lit(1)).alias("weight"))
     flags = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_engine_rows(engine, limit), "anchor long, seg_id long, from array<int>, to array<int>")
     return segments.select(ROW, "anchor", "start", "seg_id").join(flags, ["anchor", "seg_id"]).groupBy(ROW).agg(F.collect_list(F.struct("start", "from", "to")).alias("spans"))

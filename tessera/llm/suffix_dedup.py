@@ -29,6 +29,8 @@ from tessera.llm import _text as T
 from tessera.llm._segments import Spec, repeated_windows, unit_flags
 from tessera.llm._store import REST, ROW, keyed
 
+#: Bytes of whole groups that one transform is built for, if no group is larger.
+COLLECTION_BYTES = 1 << 18
 #: Symbols end after these bytes.
 ENDS = np.zeros(256, bool)
 ENDS[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,11 +47,11 @@ class ColumnIndex:
     def __init__(self, symbols: np.ndarray, offsets: np.ndarray):
         self.symbols, self.offsets = symbols, offsets
         lengths = np.diff(offsets)
-        self.first = np.zeros(0, np.int64)
-        self.tail = np.zeros(0, np.int64)
-        self.bwt = np.zeros(0, np.int64)
-        self.at = np.zeros(0, np.int64)  # start of each suffix, by place
-        place = np.full(len(lengths), -1, np.int64)  # of each sequence's last inserted suffix
+        self.first = np.zeros(0, np.int32)
+        self.tail = np.zeros(0, np.int32)
+        self.bwt = np.zeros(0, np.int32)
+        self.at = np.zeros(0, np.int32)  # start of each suffix, by place
+        place = np.full(len(lengths), -1, np.int32)  # of each sequence's last inserted suffix
         for column in range(1, int(lengths.max(initial=0)) + 1):
             live = np.flatnonzero(lengths >= column)
             start = offsets[live + 1] - column
@@ -62,24 +64,25 @@ class ColumnIndex:
         self.bwt[tail[had]] = symbol[had]
         order = np.lexsort((tail, symbol))
         symbol, tail, start, live = symbol[order], tail[order], start[order], live[order]
-        width = n + 2  # the key of (symbol, tail) as one number
-        where = np.searchsorted(self.first * width + self.tail + 1, symbol * width + tail + 1, side="right")
+        # Where (symbol, tail) comes in: by symbol first, then by tail among the suffixes that start with it.
+        low, high = np.searchsorted(self.first, symbol, side="left"), np.searchsorted(self.first, symbol, side="right")
+        where = _places(self.tail, low, high, tail)
         fresh = where + np.arange(m)
         moved = np.ones(n + m, bool)
         moved[fresh] = False
         old = np.flatnonzero(moved)  # new place of each old one
 
         def merged(have: np.ndarray, add: np.ndarray) -> np.ndarray:
-            out = np.empty(n + m, np.int64)
+            out = np.empty(n + m, np.int32)
             out[old] = have
             out[fresh] = add
             return out
 
-        renamed = np.append(old, -1)  # -1 stays -1
+        renamed = np.append(old, -1).astype(np.int32)  # -1 stays -1
         self.tail = merged(renamed[self.tail], renamed[tail])
         self.first = merged(self.first, symbol)
         self.at = merged(self.at, start)
-        self.bwt = merged(self.bwt, np.full(m, -1, np.int64))
+        self.bwt = merged(self.bwt, np.full(m, -1, np.int32))
         idle = place >= 0
         place[idle] = renamed[place[idle]]
         place[live] = fresh
@@ -106,6 +109,19 @@ class ColumnIndex:
             short = short_now
 
 
+def _places(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Binary search of each wanted value in its own sorted stretch low:high of ``values``: the first larger."""
+    low, high = low.astype(np.int64), high.astype(np.int64)
+    while True:
+        live = low < high
+        if not live.any():
+            return low
+        middle = (low + high) // 2
+        right = live & (values[np.minimum(middle, len(values) - 1)] <= wanted)
+        low = np.where(right, middle + 1, low)
+        high = np.where(live & ~right, middle, high)
+
+
 def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start of each symbol, the symbols as small numbers, and the index of each segment's first symbol."""
     begins = np.zeros(len(data), bool)
@@ -121,15 +137,23 @@ def _engine(window: int):
     def judge(group: np.ndarray, contents: list, weights: np.ndarray) -> list:
         flags: list = [None] * len(contents)
         edges = np.flatnonzero(np.diff(group)) + 1
-        mixed: list[int] = []
+        mixed: list[tuple[int, list[int]]] = []
         for members in np.split(np.arange(len(contents)), edges):
             if len(members) == 1 and weights[members[0]] > 1:  # equal documents: one insertion stands for all
                 flags[members[0]] = np.ones(len(contents[members[0]]) - window + 1, bool)
             else:
-                mixed += members.tolist()
-        if mixed:
-            for i, f in zip(mixed, repeated([contents[i] for i in mixed], weights[mixed], window), strict=True):
-                flags[i] = f
+                rounds = max(len(contents[i].split()) for i in members)
+                mixed.append((rounds, members.tolist()))
+        mixed.sort()  # groups of like length together: every round then inserts nearly everywhere
+        collection: list[int] = []
+        size = 0
+        for k, (_, members) in enumerate(mixed):
+            collection += members
+            size += sum(len(contents[i]) for i in members)
+            if size >= COLLECTION_BYTES or k == len(mixed) - 1:
+                for i, f in zip(collection, repeated([contents[i] for i in collection], weights[collection], window), strict=True):
+                    flags[i] = f
+                collection, size = [], 0
         return flags
 
     return judge
