@@ -99,6 +99,21 @@ def estimates(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) ->
     return (equal / used - chance) / (1 - chance), np.sqrt(0.1875 / used)
 
 
+def may_link(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs can have the similarity, by sizes, by what the sketches can hide, and by the estimate.
+
+    A common element is the smallest of its register on both sides, and the registers agree, or it is one of
+    the elements that a side's sketch doesn't show: that bounds the intersection for certain, closely for sets
+    that are small against the number of registers.  The estimate may err by four standard deviations.
+    """
+    ok = np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9
+    equal = ((a == b) & (a > 0)).sum(axis=-1)
+    hidden = n_a - (a > 0).sum(axis=-1) + n_b - (b > 0).sum(axis=-1)
+    ok &= equal + hidden >= threshold / (1 + threshold) * (n_a + n_b) - 1e-9
+    guess, error = estimates(a, n_a, b, n_b)
+    return ok & (guess >= threshold - 4 * error)
+
+
 def band_keys(values: np.ndarray, sketch: np.ndarray, threshold: float) -> np.ndarray:
     parts = sketch.reshape(-1, BAND).astype(T.U64)
     code = parts @ (T.U64(1) << (T.U64(8) * np.arange(BAND, dtype=T.U64)))
@@ -152,10 +167,7 @@ class Bucket:
 
     def near(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of ``others`` that may be linked with member i."""
-        low, high = np.minimum(self.n[i], self.n[others]), np.maximum(self.n[i], self.n[others])
-        others = others[low >= self.threshold * high - 1e-9]
-        guess, error = estimates(self.codes[i], self.n[i], self.codes[others], self.n[others])
-        return others[guess >= self.threshold - 4 * error]
+        return others[may_link(self.codes[i], self.n[i], self.codes[others], self.n[others], self.threshold)]
 
     def centre(self, members: np.ndarray) -> int:
         """The member that agrees most with the most common register values."""
@@ -187,13 +199,9 @@ def _pair_rows(threshold: float, crossing: bool):
         edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         size = np.diff(edges)
         first = edges[:-1][size == 2]
-        both = [(first, first + 1)]
-        ok = np.minimum(n[first], n[first + 1]) >= threshold * np.maximum(n[first], n[first + 1]) - 1e-9
         if crossing:
-            ok &= comps[first] != comps[first + 1]
-        first = first[ok]
-        guess, error = estimates(codes[first], n[first], codes[first + 1], n[first + 1])
-        first = first[guess >= threshold - 4 * error]
+            first = first[comps[first] != comps[first + 1]]
+        first = first[may_link(codes[first], n[first], codes[first + 1], n[first + 1], threshold)]
         both = [np.stack((first, first + 1), 1)]
         for lo, hi in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
             if crossing and (comps[lo:hi] == comps[lo]).all():
@@ -271,7 +279,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     asked = pairs.join(chunks, "lead").select("lead", part.alias("chunk"), F.col("other").alias(ROW))
     leads = chunks.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("lead").alias(ROW))
     wanted = asked.unionByName(leads).groupBy(ROW).agg(F.collect_list(F.struct("lead", "chunk")).alias("to"))
-    texts = docs.select(ROW, "text").join(wanted, ROW).select(ROW, "text", F.explode("to").alias("t")).select("t.lead", "t.chunk", ROW, "text")
+    # Both sides grow with the input, so the join is by shuffle at any size.
+    texts = docs.select(ROW, "text").join(wanted.hint("merge"), ROW).select(ROW, "text", F.explode("to").alias("t")).select("t.lead", "t.chunk", ROW, "text")
     texts = texts.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col(ROW) != F.col("lead"))
     return written(texts.mapInArrow(_confirm_rows(threshold), "src long, dst long"), "links")
 
