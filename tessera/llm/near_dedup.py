@@ -10,8 +10,9 @@ threshold go, and the rest are confirmed on the full sets.
 
 Documents with equal sets collapse before any of that.  In a bucket of candidates the one nearest to the
 bucket's most common register values stands for the others, so a group of thousands of copies costs one pair
-a copy, not all pairs.  When those links are confirmed, buckets that still hold several components get all
-pairs between different components, so that no link that could join them is lost.  A document that many others
+a copy, not all pairs.  When those links are confirmed, each member of a bucket that still holds several
+components is compared with its BEST likeliest partners in others (in buckets of more than FEW members), and what then is still apart with all such
+partners, so that no link that could join two components is lost.  A document that many others
 are compared with is sent once to each chunk of its partners.  Components come from rounds of large-star and
 small-star steps over tables in the shared folder.
 
@@ -33,12 +34,17 @@ from tessera.llm import _text as T
 from tessera.llm._store import ROW, keyed, written
 
 SHINGLE = 5
-REGISTERS, REGISTER_BITS = 128, 7
+REGISTERS, REGISTER_BITS = 256, 8
 #: A register: min(leading zeros, 14) * 16 + 4 mantissa bits + 1; 0 is an empty one.
 MANTISSA, MOST_ZEROS = 4, 14
-BAND = 4
+#: Registers of a band, and how many registers are in bands.
+BAND, BANDED = 4, 128
 #: Sets up to this size also go by prefix filtering; the size below which a partner can have to.
 SMALL = 48
+#: Partners of a member in one bucket that are tried before all are.
+BEST = 1
+#: Members up to which a bucket's pairs are compared all at once.
+FEW = 32
 #: Partners of one document that are confirmed in one chunk.
 CHUNK = 512
 
@@ -89,14 +95,19 @@ _COLLIDE = (_TABLE @ _TABLE.T).astype(np.float32)
 
 
 def estimates(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of sketches, row by row, and their standard errors at 0.75."""
+    """Collision-corrected Jaccard estimates of sketches, row by row, and their standard errors at 0.75.
+
+    The registers in use show so many of the union's elements, drawn without replacement.
+    """
     either = (a > 0) | (b > 0)
     used = np.maximum(either.sum(axis=-1), 1)
     equal = ((a == b) & either).sum(axis=-1)
     top = len(_STEPS) - 1
     chance = _COLLIDE[np.minimum(np.searchsorted(_STEPS, n_a), top), np.minimum(np.searchsorted(_STEPS, n_b), top)] * REGISTERS / used
     chance = np.minimum(chance, 0.5)
-    return (equal / used - chance) / (1 - chance), np.sqrt(0.1875 / used)
+    union = (n_a + n_b) / 1.75
+    unseen = np.clip(1 - used / np.maximum(union, 1), 0.02, 1)
+    return (equal / used - chance) / (1 - chance), np.sqrt(0.1875 / used * unseen)
 
 
 def may_link(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -115,15 +126,16 @@ def may_link(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, thr
 
 
 def band_keys(values: np.ndarray, sketch: np.ndarray, threshold: float) -> np.ndarray:
-    parts = sketch.reshape(-1, BAND).astype(T.U64)
+    """Candidate keys; the last six bits have the band's number, or 63 for a key of prefix filtering."""
+    parts = sketch[:BANDED].reshape(-1, BAND).astype(T.U64)
     code = parts @ (T.U64(1) << (T.U64(8) * np.arange(BAND, dtype=T.U64)))
     filled = np.flatnonzero(code)
-    keys = T.mix(code[filled] + (filled.astype(T.U64) + T.U64(1)) * T.U64(0x9E3779B97F4A7C15))
+    keys = T.mix(code[filled] + (filled.astype(T.U64) + T.U64(1)) * T.U64(0x9E3779B97F4A7C15)) & ~T.U64(63) | filled.astype(T.U64)
     n = len(values)
     if n * threshold <= SMALL:
         keys = keys if n > SMALL else keys[:0]
         need = n - int(np.ceil(threshold * n - 1e-9)) + 1
-        keys = np.concatenate((keys, T.mix(values[:need] ^ T.U64(0x5851F42D4C957F2D))))
+        keys = np.concatenate((keys, T.mix(values[:need] ^ T.U64(0x5851F42D4C957F2D)) | T.U64(63)))
     return keys
 
 
@@ -162,11 +174,18 @@ def sketches(docs: DataFrame, threshold: float) -> DataFrame:
 class Bucket:
     """Members of one candidate key."""
 
-    def __init__(self, ids: np.ndarray, n: np.ndarray, codes: np.ndarray, comps: np.ndarray, threshold: float):
-        self.ids, self.n, self.codes, self.comps, self.threshold = ids, n, codes, comps, threshold
+    def __init__(self, key: int, n: np.ndarray, codes: np.ndarray, comps: np.ndarray, threshold: float):
+        self.band, self.n, self.codes, self.comps, self.threshold = key & 63, n, codes, comps, threshold
+        self.used = (codes > 0).sum(axis=1)
 
     def near(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of ``others`` that may be linked with member i."""
+        low, high = np.minimum(self.n[i], self.n[others]), np.maximum(self.n[i], self.n[others])
+        others = others[low >= self.threshold * high - 1e-9]
+        own = np.where(self.codes[i] == 0, 255, self.codes[i]).astype(np.uint8)  # an empty register agrees with none
+        equal = np.count_nonzero(self.codes[others] == own, axis=1)
+        # No estimate that passes has fewer than half of either side's registers in agreement.
+        others = others[2 * equal >= np.maximum(self.used[i], self.used[others])]
         return others[may_link(self.codes[i], self.n[i], self.codes[others], self.n[others], self.threshold)]
 
     def centre(self, members: np.ndarray) -> int:
@@ -176,22 +195,57 @@ class Bucket:
         return int(members[(codes == counts.argmax(axis=1)).sum(axis=1).argmax()])
 
     def stars(self) -> Iterator[tuple[int, int]]:
-        left = np.arange(len(self.ids))
-        while len(left) > 1:
-            c = self.centre(left) if len(left) > 2 else int(left[0])
+        """Links of likely centres, as long as they have any; the rest is left to ``crossing``."""
+        left = np.arange(len(self.n))
+        misses = 0
+        while len(left) > 1 and misses < 3:
+            c = self.centre(left) if misses == 0 and len(left) > 2 else int(left[0])
             left = left[left != c]
             near = self.near(c, left)
+            misses = 0 if len(near) else misses + 1
             yield from ((c, int(j)) for j in near)
             left = left[~np.isin(left, near)]
 
-    def crossing(self) -> Iterator[tuple[int, int]]:
-        for i in range(len(self.ids) - 1):
-            others = np.arange(i + 1, len(self.ids))
-            for j in self.near(i, others[self.comps[others] != self.comps[i]]):
-                yield i, int(j)
+    def crossing(self, best: int) -> Iterator[tuple[int, int]]:
+        """Pairs between components: for each member those with the best agreement, or (best = 0) all that
+        don't share a band with a lower number, where they are found too."""
+        places = np.arange(len(self.n))
+        bands = self.codes[:, :BANDED].reshape(len(places), -1, BAND)[:, : min(self.band, BANDED // BAND)]
+        for i in places.tolist():
+            others = places if best else places[i + 1 :]
+            near = self.near(i, others[self.comps[others] != self.comps[i]])
+            if best and len(near) > best:
+                near = near[np.argsort(-(self.codes[near] == self.codes[i]).sum(axis=1), kind="stable")[:best]]
+            elif not best and self.band < 63 and len(near):
+                lower = ((bands[near] == bands[i]).all(axis=2) & (bands[i] > 0).any(axis=1)).any(axis=1)
+                near = near[~lower]
+            for j in near.tolist():
+                yield i, j
+
+
+def _small_groups(starts: np.ndarray, g: int, key, n, codes, comps, threshold: float) -> list[np.ndarray]:
+    """The pairs between components of all buckets of g members, many buckets at a time."""
+    a, b = np.triu_indices(g, 1)
+    out = []
+    step = max(1, 20_000 // len(a))
+    for k in range(0, len(starts), step):
+        some = starts[k : k + step, None]
+        i, j = (some + a).ravel(), (some + b).ravel()
+        ok = (comps[i] != comps[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[ok], j[ok]
+        ok = may_link(codes[i], n[i], codes[j], n[j], threshold)
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        x, y = (codes[z, :BANDED].reshape(len(z), -1, BAND) for z in (i, j))
+        agree = (x == y).all(axis=2) & (x > 0).any(axis=2)
+        band = (key[i] & 63)[:, None]
+        lower = (agree & (np.arange(BANDED // BAND) < band) & (band < 63)).any(axis=1)
+        out.append(np.stack((i[~lower], j[~lower]), 1))
+    return out
 
 
-def _pair_rows(threshold: float, crossing: bool):
+def _pair_rows(threshold: float, crossing: bool, best: int):
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(held).combine_chunks()
         key, ids, n, comps = (table.column(c).to_numpy() for c in ("key", ROW, "n_shingles", "comp"))
@@ -203,11 +257,14 @@ def _pair_rows(threshold: float, crossing: bool):
             first = first[comps[first] != comps[first + 1]]
         first = first[may_link(codes[first], n[first], codes[first + 1], n[first + 1], threshold)]
         both = [np.stack((first, first + 1), 1)]
-        for lo, hi in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
+        if crossing:
+            for g in np.unique(size[(size > 2) & (size <= FEW)]).tolist():
+                both += _small_groups(edges[:-1][size == g], g, key, n, codes, comps, threshold)
+        for lo, hi in zip(edges[:-1][size > (FEW if crossing else 2)].tolist(), edges[1:][size > (FEW if crossing else 2)].tolist(), strict=True):
             if crossing and (comps[lo:hi] == comps[lo]).all():
                 continue
-            bucket = Bucket(ids[lo:hi], n[lo:hi], codes[lo:hi], comps[lo:hi], threshold)
-            found = list(bucket.crossing() if crossing else bucket.stars())
+            bucket = Bucket(int(key[lo]), n[lo:hi], codes[lo:hi], comps[lo:hi], threshold)
+            found = list(bucket.crossing(best) if crossing else bucket.stars())
             if found:
                 both.append(np.array(found, np.int64) + lo)
         pairs = np.concatenate(both)
@@ -242,10 +299,10 @@ def _pair_rows(threshold: float, crossing: bool):
     return rows
 
 
-def candidate_pairs(members: DataFrame, info: DataFrame, threshold: float, crossing: bool) -> DataFrame:
+def candidate_pairs(members: DataFrame, info: DataFrame, threshold: float, crossing: bool = False, best: int = 0) -> DataFrame:
     """(lead, other) from (key, _row) and (_row, n_shingles, sketch, comp)."""
     full = members.join(info.select(ROW, "n_shingles", "sketch", "comp"), ROW)
-    return full.repartition("key").sortWithinPartitions("key", ROW).mapInArrow(_pair_rows(threshold, crossing), "lead long, other long").distinct()
+    return full.repartition("key").sortWithinPartitions("key", ROW).mapInArrow(_pair_rows(threshold, crossing, best), "lead long, other long").distinct()
 
 
 def _confirm_rows(threshold: float):
@@ -316,18 +373,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     same = made.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min(ROW).alias("rep"))
     reps = same.select(F.col("rep").alias(ROW)).join(made, ROW)
     keys = reps.select(ROW, F.explode("keys").alias("key")).distinct()
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    shared = keys.groupBy("key").count().where("count > 1")
     members = written(keys.join(shared, "key"), "members")
     info = made.select(ROW, "n_shingles", "sketch")
-    links = confirmed(candidate_pairs(members, info.withColumn("comp", F.col(ROW)), threshold, False), rows, threshold)
+    links = confirmed(candidate_pairs(members.select("key", ROW), info.withColumn("comp", F.col(ROW)), threshold), rows, threshold)
     comps = written(components(links), "components")
-    placed = members.join(comps.withColumnRenamed("node", ROW), ROW, "left").select("key", ROW, F.coalesce("comp", ROW).alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    rest = placed.join(open_keys, "key")
-    crossing = candidate_pairs(rest.select("key", ROW), info.join(comps.withColumnRenamed("node", ROW), ROW, "left").withColumn("comp", F.coalesce("comp", ROW)), threshold, True)
-    tried = crossing.join(links.select(F.least("src", "dst").alias("lead"), F.greatest("src", "dst").alias("other")), ["lead", "other"], "left_anti")
-    more = confirmed(tried, rows, threshold)
-    comps = written(components(links.unionByName(more)), "components")
+    for best in (BEST, 0):
+        placed = members.join(comps.withColumnRenamed("node", ROW), ROW, "left").select("key", ROW, "count", F.coalesce("comp", ROW).alias("comp"))
+        open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
+        rest = placed.where(F.col("count") > (FEW if best else 0)).join(open_keys, "key").select("key", ROW)
+        named = info.join(comps.withColumnRenamed("node", ROW), ROW, "left").withColumn("comp", F.coalesce("comp", ROW))
+        more = confirmed(candidate_pairs(rest, named, threshold, True, best), rows, threshold)
+        links = links.unionByName(more)
+        comps = written(components(links), "components")
 
     rep_of = made.select(ROW, "n_shingles", "print_a", "print_b").join(same, ["n_shingles", "print_a", "print_b"], "left").select(ROW, "n_shingles", F.coalesce("rep", ROW).alias("rep"))
     group = rep_of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(ROW, "n_shingles", F.coalesce("comp", "rep").alias("comp"))
