@@ -17,10 +17,12 @@ Empty table: empty result.  Other columns are passed on by ``with_scores``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,20 +130,24 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, fit_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> Model:
     known = labels.select(quoted(labels, label_id).cast("long").alias("id"), quoted(labels, label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     texts = docs.select(quoted(docs, id_col).cast("long").alias("id"), F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")).alias("text"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("id", "y")  # fit_rows at most: it can be broadcast
-    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id")
-    rows, size = [], 0
-    for row in found.toLocalIterator():
-        text = row["text"].encode()
-        size += len(text)
-        if size > fit_bytes and rows:
-            break
-        rows.append((text, row["y"]))
-    return fit(rows)
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "id"])
+        encoded = [t.encode() for t in pdf["text"]]
+        within = np.cumsum([len(t) for t in encoded]) <= fit_bytes
+        within[:1] = True
+        rows = [(t, int(y)) for t, y, w in zip(encoded, pdf["y"], within, strict=True) if w]
+        return pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
+
+    # fit_rows texts at most, in one task; the driver gets the model only.
+    made = found.select(F.lit(0).alias("g"), F.xxhash64("id").alias("h"), "id", "y", "text").groupBy("g").applyInPandas(kernel, "model binary").collect()
+    return pickle.loads(bytes(made[0][0])) if made else Model()
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
