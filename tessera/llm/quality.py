@@ -5,8 +5,8 @@ compressed in blocks of BLOCK bytes with each; the difference of the two total s
 negative where the bad dictionary fits better.  A logistic curve fitted on labelled documents that the
 dictionaries haven't seen turns it, with the text's own compressibility, into a score from 0 to 1.
 
-The fit uses at most ``fit_rows`` labelled documents and ``fit_bytes`` bytes of them, those whose ids have the
-smallest hashes; everything else covers all documents, whole.  Rows with crc32(id as text) mod 4 = 2 are held
+The fit uses at most ``fit_rows`` labelled documents and ``fit_bytes`` bytes of them, half of them of
+either label, those whose ids have the smallest hashes; everything else covers all documents, whole.  Rows with crc32(id as text) mod 4 = 2 are held
 out and never used for the fit.
 
 Null texts are empty texts.  Empty texts get the score of their features like any other.  Labels that are null
@@ -85,8 +85,11 @@ def _dictionary(lines: list[bytes]) -> tuple[bytes, bool]:
         return b"".join(lines)[: 4 * DICTIONARY_BYTES] or b"\n", False
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """A model of (text, label) rows: dictionaries from every other row, the curve from the rest."""
+def fit(rows: list[tuple[bytes, int]], sizes: tuple[float, float] | None = None) -> Model:
+    """A model of (text, label) rows: dictionaries from every other row of a label, the curve from the rest.
+
+    sizes: how many rows of label 0 and 1 there are in all, where these are a sample with other shares.
+    """
     labels = [y for _, y in rows]
     if len(set(labels)) < 2 or min(labels.count(0), labels.count(1)) < 4:
         return Model(prior=(sum(labels) + 1) / (len(labels) + 2))
@@ -111,11 +114,14 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     y = np.array([y for _, y in curve], float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack(((x - model.mean) / model.scale, np.ones(len(x))))
+    share = np.array(sizes or (1, 1), float) / np.bincount(y.astype(int), minlength=2) if sizes else np.ones(2)
+    share = share / share.mean()
+    each = share[y.astype(int)]
     w = np.zeros(3)
     for _ in range(60):  # Newton's steps with a small penalty
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(3)
-        w -= np.linalg.solve(hessian, z.T @ (p - y) + 1e-2 * w)
+        hessian = (z * (each * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(3)
+        w -= np.linalg.solve(hessian, z.T @ (each * (p - y)) + 1e-2 * w)
     model.weights = w
     return model
 
@@ -130,11 +136,14 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500, fit_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> Model:
     known = labels.select(quoted(labels, label_id).cast("long").alias("id"), quoted(labels, label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     texts = docs.select(quoted(docs, id_col).cast("long").alias("id"), F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("id", "y")  # fit_rows at most: it can be broadcast
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two numbers
+    order = [F.xxhash64("id"), F.col("id")]
+    halves = [known.where(F.col("y") == y).orderBy(*order).limit(fit_rows // 2).select("id", "y") for y in (0, 1)]
+    chosen = halves[0].unionByName(halves[1])  # fit_rows at most: it can be broadcast
     found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +152,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, fit_bytes:
         within = np.cumsum([len(t) for t in encoded]) <= fit_bytes
         within[:1] = True
         rows = [(t, int(y)) for t, y, w in zip(encoded, pdf["y"], within, strict=True) if w]
-        return pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
+        return pd.DataFrame({"model": [pickle.dumps(fit(rows, (sizes.get(0, 0), sizes.get(1, 0))))]})
 
     # fit_rows texts at most, in one task; the driver gets the model only.
     made = found.select(F.lit(0).alias("g"), F.xxhash64("id").alias("h"), "id", "y", "text").groupBy("g").applyInPandas(kernel, "model binary").collect()

@@ -93,7 +93,9 @@ class WarcReader(DataSourceReader):
             names = sorted(x.path[len(path.rstrip("/")) + 1 :] for x in found if x.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path))
         return [FilePart(f"{base}/{n}") for n in names]
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         system, path = _open(partition.uri)
         if path.endswith(".gz"):
             with system.open_input_stream(path, compression=None) as raw:
