@@ -225,6 +225,7 @@ class WarcWriter(DataSourceWriter):
 
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
+        self.packed = options.get("compression", "gzip") == "gzip"  # each record a member of its own
         self.roll = int(options.get("rollbytes", str(256 << 20)))
 
     def write(self, rows: Iterator) -> Written:
@@ -237,9 +238,9 @@ class WarcWriter(DataSourceWriter):
                 if out is None or size >= self.roll:
                     if out is not None:
                         out.close()
-                    names.append(f"part-{uuid.uuid4().hex}.warc")
-                    out, size = system.open_output_stream(f"{path}/{names[-1]}"), 0
-                data = record(row)
+                    names.append(f"part-{uuid.uuid4().hex}.warc{'.gz' * self.packed}")
+                    out, size = system.open_output_stream(f"{path}/{names[-1]}", compression=None), 0
+                data = gzip.compress(record(row), 1) if self.packed else record(row)
                 out.write(data)
                 size += len(data)
         finally:
@@ -281,8 +282,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z") -> None:
-    """Writes one record a page below ``path``."""
+def archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Writes one record a page below ``path``; compression is gzip or none."""
     spark = pages.sparkSession
     html = F.coalesce(quoted(pages, html_col).cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.monotonically_increasing_id().alias("row"), quoted(pages, id_col).cast("long").alias("id"), quoted(pages, url_col).cast("string").alias("url"), html.alias("payload"))
@@ -305,7 +306,7 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
     spark.dataSource.register(WarcSource)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").option("compression", compression).mode("append").save(path)
 
 
 def page_of(column: str):

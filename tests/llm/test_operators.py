@@ -161,11 +161,12 @@ def test_quality(spark, empty):
     assert quality.quality_scores(empty, labels).count() == 0
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc(spark, tmp_path, compression):
     html = ["<p>a</p>", "<p>é\r\n\r\nWARC/1.1</p>", None, "", "<p>a</p>", "x" * 200_000, "<p>a</p>"]
     pages = spark.createDataFrame([(7 - i, f"http://h/{i}" if i else None, h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(3)
     path = f"file://{tmp_path}/w"
-    warc.archive(pages, path)
+    warc.archive(pages, path, compression=compression)
     got = {int(r["record_id"][10:-1]): r for r in warc.read_warc(spark, path, payload=True).collect()}
     assert len(got) == len(html)
     for i, h in enumerate(html):
