@@ -196,6 +196,17 @@ def test_token_counts(docs, texts, empty):
     assert token_counts.token_counts(empty, pieces).count() == 0
 
 
+def test_trie_and_long_words_agree():
+    counter = token_counts.Counter(token_counts.load_pieces())
+    rng = random.Random(3)
+    words = ["".join(rng.choices(["a", "b", "the", "é", "漢", "😀", "\x00", "\ufffd", "%"], k=rng.randint(0, 50))) for _ in range(2000)]
+    words = list(dict.fromkeys(words))
+    assert counter.counts(words).tolist() == [counter.count_long(w) for w in words]
+    assert counter.counts([]).tolist() == [] and counter.counts([""]).tolist() == [0]
+    assert token_counts.Counter({}).counts(["a", "é"]).tolist() == [1, 2]
+    assert token_counts.Counter({"ab": -1.0, "a": -0.5, "b": -0.5}).counts(["ab", "aab", "c"]).tolist() == [1, 2, 1]
+
+
 @pytest.mark.parametrize("small", [48, 0])
 def test_near_dedup(docs, texts, empty, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "FEW", 2 if small else 32)
