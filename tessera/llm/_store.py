@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 ROW = "_row"
 REST = "_rest"
+#: Most rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
 _own: dict[str, str] = {}
 
 
@@ -41,9 +43,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session gives Python workers Arrow batches of a few megabytes, instead of 64.
+
+    A worker and the JVM's side of it both hold a batch or two, for each core.  A row larger than that is a batch.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,6 +67,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     _row is Spark's partition number and position, so ``docs`` must be a table or another input that gives
     the same partitions each time it is read.
     """
+    small_batches(docs.sparkSession)
     return docs.select(
         F.monotonically_increasing_id().alias(ROW),
         quoted(docs, id_col).cast("long").alias("doc_id"),

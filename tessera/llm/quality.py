@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import quoted
+from tessera.llm._store import quoted, small_batches
 
 BLOCK = 1024
 LEVEL = 3
@@ -137,6 +137,7 @@ def held_out(key: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500, fit_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> Model:
+    small_batches(docs.sparkSession)
     known = labels.select(quoted(labels, label_id).cast("long").alias("id"), quoted(labels, label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     texts = docs.select(quoted(docs, id_col).cast("long").alias("id"), F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")).alias("text"))

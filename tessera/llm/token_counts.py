@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import _text as T
-from tessera.llm._store import quoted
+from tessera.llm._store import quoted, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -191,6 +191,7 @@ class Counter:
 
 def token_counts(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) for every document."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
