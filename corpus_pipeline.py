@@ -19,6 +19,8 @@ from tessera.llm.quality import fitted, with_scores
 from tessera.llm.suffix_dedup import remove_repeated_bytes
 
 ACCEPT = 0.7
+#: Words of the shortest repeated passage that goes, however few bytes it has.
+PASSAGE_WORDS = 51
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that start anywhere else too; texts that nothing is left of go."""
-    kept = remove_repeated_bytes(docs, rest=tuple(docs.columns)).where("n_bytes = 0 or n_removed < n_bytes")
+    """Documents without the passages of 400 bytes or of over 50 words that are anywhere else too; texts that nothing is left of go."""
+    kept = remove_repeated_bytes(docs, rest=tuple(docs.columns), words=PASSAGE_WORDS).where("n_bytes = 0 or n_removed < n_bytes")
     fields = [F.col(f"_rest.{c}").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     text = F.when(F.col("_rest.text").isNotNull(), F.col("kept_text"))
     return kept.select(*fields, text.alias("text"), F.when(F.col("_rest.n_chars").isNotNull(), F.char_length("kept_text").cast("long")).alias("n_chars")).select(*docs.columns)

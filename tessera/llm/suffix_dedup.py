@@ -204,7 +204,16 @@ def repeated(contents: list[bytes], weights: np.ndarray, window: int) -> list[np
     return [found[offsets[i] : max(offsets[i], offsets[i + 1] - window + 1)] for i in range(len(contents))]
 
 
-def _result_rows(window: int, rest: bool):
+def _long_runs(gone: np.ndarray, data: np.ndarray, window: int, words: int) -> np.ndarray:
+    """``gone`` without the runs that are shorter than ``window`` bytes and hold fewer than ``words`` whole words."""
+    starts, ends = T.spans(gone)
+    word_starts, word_ends = T.spans(~ENDS[data])
+    held = np.searchsorted(word_ends, ends, side="right") - np.searchsorted(word_starts, starts, side="left")
+    keep = (ends - starts >= window) | (held >= words)
+    return T.covered(len(data), starts[keep], ends[keep])
+
+
+def _result_rows(window: int, words: int | None, searched: int, rest: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, spans = batch.column("doc_id"), batch.column("spans")
@@ -212,7 +221,9 @@ def _result_rows(window: int, rest: bool):
                 n_removed, n_spans, digests, kept_texts = [], [], [], []
                 for i in range(part.n):
                     data = part.data[part.offsets[i] : part.offsets[i + 1]]
-                    gone = unit_flags(spans[part.first + i].as_py(), len(data), window)
+                    gone = unit_flags(spans[part.first + i].as_py(), len(data), searched)
+                    if words is not None and gone.any():
+                        gone = _long_runs(gone, data, window, words)
                     kept = (data[~gone] if gone.any() else data).tobytes()
                     n_removed.append(int(gone.sum()))
                     n_spans.append(len(T.spans(gone)[0]))
@@ -231,22 +242,27 @@ def _result_rows(window: int, rest: bool):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
     """Each document without the bytes covered by a ``window``-byte string that also starts anywhere else.
 
+    With ``words``, repeated passages of so many words go too, however few bytes they have: strings as short as
+    the shortest such passage (words of one byte) are searched, and of the stretches that they cover, those of
+    ``window`` bytes or ``words`` whole words go.  A stretch may join passages that repeat in different places.
+
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``rest`` names columns to pass on,
     kept_text (the remaining bytes as UTF-8, without the pieces of a character cut in two) and those columns
     in the struct ``_rest``.
     """
     rows = keyed(docs, id_col, text_col)
-    spec = Spec(words=False, window=window, gram=max(1, min(24, window // 4)), piece=2 * window)
-    spans = repeated_windows(rows, spec, _engine(window), 4 << 20)
+    searched = window if words is None else max(1, min(window, 2 * words - 1))
+    spec = Spec(words=False, window=searched, gram=max(1, min(24, searched // 4)), piece=2 * searched)
+    spans = repeated_windows(rows, spec, _engine(searched), 4 << 20)
     schema = RESULT
     if rest:
         kept = docs.select(F.struct(*["`" + c.replace("`", "``") + "`" for c in rest]).alias(REST))
         rows = docs.select(F.monotonically_increasing_id().alias(ROW), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*["`" + c.replace("`", "``") + "`" for c in rest]).alias(REST))
         schema += f", kept_text string, {REST} {kept.schema[REST].dataType.simpleString()}"
-    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans", *[REST] * bool(rest)).mapInArrow(_result_rows(window, bool(rest)), schema)
+    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans", *[REST] * bool(rest)).mapInArrow(_result_rows(window, words, searched, bool(rest)), schema)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

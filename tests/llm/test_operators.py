@@ -290,3 +290,18 @@ def test_pipeline(spark, sf_dir):
     kept = {r["doc_id"] for r in docs.collect()}
     result = P.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in result} == kept and all(r["taken"] <= 2 * r["size"] for r in result)
+
+
+def test_pipeline_removes_passages_of_over_50_words(spark, sf_dir):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 7))) for _ in range(3000)]
+    own = lambda n: " ".join(rng.choices(words, k=n))
+    usual, short, brief = own(51), " ".join(rng.choices("abcdefghijklm", k=51)), own(40)
+    assert 101 == len(short) < len(usual) < 400 and 101 < len(brief) < 400
+    around = [(own(80), own(90)) for _ in range(6)]
+    texts = [f"{a} {i}( {t} ){i} {b}" for i, ((a, b), t) in enumerate(zip(around, [usual, usual, short, short, brief, brief], strict=True))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    got = {r["doc_id"]: r["text"] for r in P.suffix_dedup(spark, P.written(docs, "docs"), sf_dir).collect()}
+    assert got == {i: f"{a} {i}{'' if i < 4 else f'( {brief} )'}{i} {b}" for i, (a, b) in enumerate(around)}
