@@ -1,7 +1,9 @@
 """Licence recognition by known sentences and ordered rules, in DataFrame functions only.
 
 A text is cut into sentences at runs of . ! ? before white space and at line ends; a sentence is normalised to
-its lower-case ASCII letters and digits with single spaces.  Sentences that equal a known one get its
+its lower-case ASCII letters and digits with single spaces.  A known sentence counts where it is one sentence,
+or several that follow each other as lines of one paragraph (comment marks at their starts aren't letters, so
+they go): notices are mostly wrapped.  Where several known ones start, the longest counts.  It gets its
 identifier.  The identifiers in order are then matched against the rules, first to last: a rule is a sequence
 of identifiers that must follow each other (with no other known sentence between); what it matches is taken
 away, so that a licence's sentences don't match a later, less specific rule.
@@ -12,6 +14,8 @@ empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +70,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Unlicense", ("UNLICENSE",)),
 ]
 
-CUT = "[.!?]+([ \\t\\r\\n]|$)|[\\r\\n]"
+STOP, LINE_END = "[.!?]+([ \\t\\r\\n]|$)", "\\r\\n?|\\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,20 +79,32 @@ def _known(sentences: dict[str, list[str]]) -> tuple[list[str], list[str]]:
     return [t for t, _ in pairs], [n for _, n in pairs]
 
 
+def _pattern(texts: list[str]) -> str:
+    """A known sentence, longest first, after a stop S or a line end L and before the next.
+
+    Between its words there may be one line end; an empty line makes two.  The abbreviation "v." reads as a stop.
+    """
+    gaps = [re.sub(r"\bv\[ L\]", "v[ LS]", "[ L]".join(map(re.escape, t.split()))) for t in sorted(texts, key=len, reverse=True)]
+    return f"[SL]({'|'.join(gaps)})(?=[SL])"
+
+
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] | None = None, rules: list | None = None) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences, n_unmatched) for every document.
 
-    sentence_ids and licences are comma-joined, in the order of the text and of the rules; n_unmatched counts
-    known sentences that no rule took.
+    sentence_ids and licences are comma-joined, in the order of the text and of the rules; n_sentences counts
+    lines as sentences of their own; n_unmatched counts known sentences that no rule took.
     """
     texts, names = _known(sentences or SENTENCES)
     known = F.array(*[F.lit(t) for t in texts])
     named = F.array(*[F.lit(n) for n in names])
-    flat = F.regexp_replace(F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")), CUT, "\n")
-    flat = F.regexp_replace(F.translate(flat, UPPER, LOWER), "[^a-z0-9\\n]+", " ")
-    found = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), F.filter(F.transform(F.split(flat, "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("s"))
-    ids = F.transform(F.filter("s", lambda s: F.array_contains(known, s)), lambda s: F.element_at(named, F.array_position(known, s).cast("int")))
-    state = found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
+    # Text is in lower case, so capitals can mark the cuts.
+    flat = F.translate(F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")), UPPER, LOWER)
+    flat = F.regexp_replace(F.regexp_replace(flat, STOP, "S"), LINE_END, "L")
+    flat = F.regexp_replace(F.regexp_replace(flat, "[^a-z0-9SL]+", " "), " ?([SL]) ?", "$1")
+    found = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), F.concat(F.lit("S"), F.trim(flat), F.lit("S")).alias("s"))
+    matches = F.regexp_extract_all("s", F.lit(_pattern(texts)), F.lit(1))
+    ids = F.transform(matches, lambda m: F.element_at(named, F.array_position(known, F.translate(m, "LS", "  ")).cast("int")))
+    state = found.select("doc_id", F.size(F.filter(F.split("s", "[SL]"), lambda x: x != "")).cast("long").alias("n_sentences"), ids.alias("ids"))
     state = state.select("doc_id", "n_sentences", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("left"), F.lit("").alias("licences"))
     for licence, sequence in rules or RULES:
         pattern = "".join(f"<{i}>" for i in sequence)
@@ -103,6 +119,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sql() -> str:
+    """The scan of sentences that are on one line; wrapped ones are not in it, they have a test of their own."""
     texts, names = _known(SENTENCES)
     known, named = ("[" + ", ".join(f"'{x}'" for x in xs) + "]" for xs in (texts, names))
     steps = [

@@ -305,3 +305,52 @@ def test_pipeline_removes_passages_of_over_50_words(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
     got = {r["doc_id"]: r["text"] for r in P.suffix_dedup(spark, P.written(docs, "docs"), sf_dir).collect()}
     assert got == {i: f"{a} {i}{'' if i < 4 else f'( {brief} )'}{i} {b}" for i, (a, b) in enumerate(around)}
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one."""
+
+
+def test_wrapped_licences(spark):
+    mark = lambda t, c: "\n".join((c + line).rstrip() for line in t.split("\n"))
+    gpl, bsd = "GPL3-LATER,GPL-WARRANTY,GPL-DETAILS", "BSD-GRANT,BSD-ENDORSE"
+    cases = [(MIT, "MIT-NAME,MIT-GRANT,MIT-NOTICE,AS-IS", "MIT"), (GPL, gpl, "GPL-3.0-or-later"), (BSD, bsd, "BSD-3-Clause"), (MPL, "MPL2-NAME", "MPL-2.0")]
+    cases = [(form(t), ids, licence) for t, ids, licence in cases for form in (str, lambda t: mark(t, " * "), lambda t: mark(t, "# "), lambda t: t.replace("\n", "\r\n"))]
+    cases += [("Redistribution and use in source and binary forms, with or without\n\n" + BSD.split("\n", 1)[1], "BSD-ENDORSE", ""), ("Foo\nMIT License\nbar All rights reserved\nAll rights\nreserved", "MIT-NAME,RESERVED", "MIT")]
+    got = {r["doc_id"]: r for r in licences.licence_scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(got[i]["sentence_ids"], got[i]["licences"]) for i in range(len(cases))] == [c[1:] for c in cases]
