@@ -149,7 +149,7 @@ QUERIES: dict[str, Query] = {
     "annotate_subsample": _query(lambda t: _subsample_fit(t).annotation),
     "closest_average": _query(lambda t: _average_fit(t).closest()),
     "embed_pca": _query(lambda t: _subsample_fit(t).embed("pca")),
-    "embed_tsne": _query(lambda t: A.annotate_subsample(*A.stratified_landmark(t.atlas, t.obs, 10), t.new.where("obs % 25 = 0"), t.new_obs.where("obs % 25 = 0"), A.SubsampleConfig(n_pcs=5, n_features_overdispersed=30)).embed("tsne")),
+    "embed_tsne": _query(lambda t: A.annotate_subsample(*A.stratified_landmark(t.atlas, t.obs, 20), t.new, t.new_obs, A.SubsampleConfig(n_pcs=5, n_features_overdispersed=30)).embed("tsne")),
 }
 
 PRE = """WITH expr AS (SELECT o_custkey AS obs, p_brand || '|' || p_type AS feature, sum(l_quantity) AS value
