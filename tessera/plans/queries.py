@@ -134,6 +134,7 @@ QUERIES: dict[str, Query] = {
     "weighted_moments": _query(lambda t: M.moments(t.vectors.withColumn("w", F.col("id") % 5 + 1), "w").select(_long("pos"), _r("mean"), _r("sd"))),
     "standardise": _query(lambda t: M.standardise(t.vectors, M.moments(t.vectors)).select("id", F.posexplode("v").alias("pos", "x")).select("id", _long("pos"), _r("x"))),
     "replicate_by_size": _query(lambda t: M.replicate(C.label_counts(t.obs).withColumn("n_cells", F.col("n_cells") % 7 + 1)).select("label", _long("replica"), "name")),
+    "replicate_by_real_size": _query(lambda t: M.replicate(C.label_counts(t.obs)).select("label", _long("replica"), "name")),
     "pca_unweighted": _query(_pca),
     "knn_out_of_atlas": _query(lambda t: N.external_neighbours(t.vectors, 5, "correlation", 0.9).select("src", "dst", _r("dist"), _long("rank"))),
     "knn_external_mutual": _query(lambda t: N.external_neighbours(t.vectors, 5, "correlation", 0.9, True).select("src", "dst", _r("dist"), _long("rank"))),
@@ -238,6 +239,7 @@ SQL: dict[str, str] = {
     "weighted_moments": "SELECT pos, round(s / n, 6) AS mean, round(sqrt(greatest(q / n - (s / n) ** 2, 0)), 6) AS sd FROM (SELECT pos, sum(w) AS n, sum(w * x) AS s, sum(w * x * x) AS q FROM (SELECT (id % 5 + 1)::DOUBLE AS w, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v) GROUP BY pos)",
     "standardise": "SELECT id, pos, round(CASE WHEN sd < 1e-12 THEN 0 ELSE (x - mean) / sd END, 6) AS x FROM (SELECT id, pos, x, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v) WINDOW w AS (PARTITION BY pos))",
     "replicate_by_size": "SELECT label, replica, label || '_' || replica AS name FROM (SELECT label, unnest(range(1, n_cells % 7 + 2)) AS replica FROM cnt)",
+    "replicate_by_real_size": "SELECT label, replica, label || '_' || replica AS name FROM (SELECT label, unnest(range(1, n_cells + 1)) AS replica FROM cnt)",
     "knn_out_of_atlas": "," + _near("correlation", _EXT, 0.9) + _KN,
     "knn_external_mutual": "," + _near("correlation", _EXT, 0.9) + "," + _near("correlation", _BACK, 0.9, 5, "kb") + _KN + " WHERE EXISTS (SELECT 1 FROM kb WHERE kb.src = kn.dst AND kb.dst = kn.src)",
     "graph_average": _GA,
