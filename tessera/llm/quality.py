@@ -132,6 +132,16 @@ def hash_of(line: bytes) -> int:
     return xxhash.xxh64_intdigest(line)
 
 
+def fitting(lengths: list[int], labels: list[int], most: int) -> list[bool]:
+    """Which texts to take, in order, for ``most`` bytes: half for each label; a text that doesn't fit is skipped."""
+    left = {0: most // 2, 1: most - most // 2}
+    taken = []
+    for n, y in zip(lengths, labels, strict=True):
+        taken.append(n <= left[y])
+        left[y] -= n * taken[-1]
+    return taken
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -150,8 +160,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 2500, fit_bytes:
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "id"])
         encoded = [t.encode() for t in pdf["text"]]
-        within = np.cumsum([len(t) for t in encoded]) <= fit_bytes
-        within[:1] = True
+        within = fitting([len(t) for t in encoded], pdf["y"].tolist(), fit_bytes)
         rows = [(t, int(y)) for t, y, w in zip(encoded, pdf["y"], within, strict=True) if w]
         return pd.DataFrame({"model": [pickle.dumps(fit(rows, (sizes.get(0, 0), sizes.get(1, 0))))]})
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import _segments, decontamination, licences, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts, topk, warc
 from tessera.llm import queries as Q
@@ -354,3 +355,12 @@ def test_wrapped_licences(spark):
     cases += [("Redistribution and use in source and binary forms, with or without\n\n" + BSD.split("\n", 1)[1], "BSD-ENDORSE", ""), ("Foo\nMIT License\nbar All rights reserved\nAll rights\nreserved", "MIT-NAME,RESERVED", "MIT")]
     got = {r["doc_id"]: r for r in licences.licence_scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [(got[i]["sentence_ids"], got[i]["licences"]) for i in range(len(cases))] == [c[1:] for c in cases]
+
+
+def test_one_long_text_leaves_the_fit_sample(spark):
+    ids = spark.range(60).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id")
+    first = ids.first()[0]
+    docs = spark.createDataFrame([(i, ("GOOD text %d " % i if i % 2 else "bad!! words %d " % i) * (4000 if i == first else 20)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert len({r["score"] for r in quality.quality_scores(docs, labels, fit_bytes=30_000).collect()}) > 1
+    assert quality.fitting([9, 2, 3, 2, 1], [0, 0, 1, 0, 0], 8) == [False, True, True, True, False]
