@@ -243,8 +243,8 @@ def phrase_matches(index: DataFrame, items: Items, window: int = 10) -> DataFram
 
 
 def proximity_matches(index: DataFrame, items: Items, span: int = 20) -> DataFrame:
-    """(_row, item_id, first, last): for each document, the first stretch of at most ``span`` words that has
-    all distinct terms of an item, in any order."""
+    """(_row, item_id, first, last): for each document, every stretch of at most ``span`` words that has all
+    distinct terms of an item, in any order, and no shorter such stretch in it."""
     counts = term_counts(index, len(items.vocabulary))
     sent = index.sparkSession.sparkContext.broadcast((items, counts))
 
@@ -258,11 +258,9 @@ def proximity_matches(index: DataFrame, items: Items, span: int = 20) -> DataFra
                 lists = [block.postings(t).astype(np.int64) for t in terms]
                 if not lists or not all(len(x) for x in lists):
                     continue
-                done = set()
+                minimal: dict[tuple[int, int], int] = {}  # by row and last word: the latest start
                 for start in np.unique(np.concatenate(lists)).tolist():  # a stretch begins at one of the terms
                     r = int(np.searchsorted(block.offsets, start, side="right")) - 1
-                    if r in done:
-                        continue
                     nexts = []
                     for x in lists:
                         j = int(np.searchsorted(x, start))
@@ -270,8 +268,8 @@ def proximity_matches(index: DataFrame, items: Items, span: int = 20) -> DataFra
                             break
                         nexts.append(int(x[j]))
                     else:
-                        done.add(r)
-                        out.append((int(block.rows[r]), name, start - int(block.offsets[r]), max(nexts) - int(block.offsets[r])))
+                        minimal[r, max(nexts)] = start
+                out += [(int(block.rows[r]), name, start - int(block.offsets[r]), last - int(block.offsets[r])) for (r, last), start in minimal.items()]
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [ROW, "item_id", "first", "last"])
 

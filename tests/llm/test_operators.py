@@ -364,3 +364,20 @@ def test_one_long_text_leaves_the_fit_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     assert len({r["score"] for r in quality.quality_scores(docs, labels, fit_bytes=30_000).collect()}) > 1
     assert quality.fitting([9, 2, 3, 2, 1], [0, 0, 1, 0, 0], 8) == [False, True, True, True, False]
+
+
+def test_proximity_gives_every_minimal_stretch(spark):
+    rng = random.Random(6)
+    texts = ["x b y a z z z z a b", "a a b", *(" ".join(rng.choices("abcx", k=40)) for _ in range(3))]
+    rows = decontamination.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "doc_id", "text")
+    part = decontamination.Items.parse([(5, "a b"), (6, "c a b")])
+    found = decontamination.proximity_matches(decontamination.build_index(rows, part.vocabulary), part, 5).collect()
+    want = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        for item, terms in ((5, {"a", "b"}), (6, {"a", "b", "c"})):
+            full = [(f, e) for f in range(len(w)) for e in range(f, min(f + 5, len(w))) if terms <= set(w[f : e + 1])]
+            want += [(i, item, f, e) for f, e in full if not any(f <= g and h <= e and (g, h) != (f, e) for g, h in full)]
+    ids = {r["_row"]: r["doc_id"] for r in rows.collect()}
+    assert sorted((ids[r["_row"]], r["item_id"], r["first"], r["last"]) for r in found) == sorted(want)
+    assert [(f, e) for i, item, f, e in want if (i, item) == (0, 5)] == [(1, 3), (8, 9)]
