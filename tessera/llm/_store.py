@@ -17,25 +17,33 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; in local mode, as in tests, one of our own where that is unset.
+
+    On a cluster an unset folder is an error: executors can't see each other's own disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared one; what is in it goes when the driver's Python ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session is gone; the folder belongs to the cluster's clean-up then
             pass
 
@@ -58,21 +66,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later job reads: all that was made of them is written itself."""
+    for table in tables:
+        _delete(table.sparkSession, table._written_to)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_row, doc_id, text, _rest): _row tells even repeated rows apart; _rest holds all columns of ``docs``.
+def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
+    """(_row, doc_id, text [, _rest]), written once: _row tells even repeated rows apart.
 
-    _row is Spark's partition number and position, so ``docs`` must be a table or another input that gives
-    the same partitions each time it is read.
+    The numbers are made in the one job that writes them, so they stay the same for all jobs that read them,
+    whatever partitions those see.  ``rest`` adds the struct of the other columns for ``original``.
     """
-    small_batches(docs.sparkSession)
-    return docs.select(
+    columns = [
         F.monotonically_increasing_id().alias(ROW),
         quoted(docs, id_col).cast("long").alias("doc_id"),
         quoted(docs, text_col).cast("string").alias("text"),
-    )
+    ]
+    if rest:
+        columns.append(F.struct(F.lit(True).alias("_"), *[quoted(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns) if not _is_text(docs, c, text_col)]).alias(REST))
+    return written(docs.select(*columns), "rows")
+
+
+def _is_text(docs: DataFrame, name: str, text_col: str) -> bool:
+    return name == text_col and docs.schema[name].dataType.simpleString() == "string"
+
+
+def original(df: DataFrame, docs: DataFrame, text_col: str = "text", text: Column | None = None, **instead: Column) -> DataFrame:
+    """The columns of ``docs`` from ``text`` and ``_rest`` of ``df``; a new text or other columns if given."""
+    out = []
+    for i, c in enumerate(docs.columns):
+        if c == text_col and text is not None:
+            value = text
+        elif c in instead:
+            value = instead[c]
+        else:
+            value = F.col("text") if _is_text(docs, c, text_col) else F.col(f"{REST}.c{i}")
+        out.append(value.alias(c))
+    return df.select(*out)
 
 
 def quoted(df: DataFrame, name: str) -> Column:

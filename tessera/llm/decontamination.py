@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
-from tessera.llm._store import ROW, keyed, quoted, written
+from tessera.llm._store import REST, ROW, keyed, original, quoted, written
 
 #: Most bytes of item texts that go to every task at once.
 PART_BYTES = 8 << 20
@@ -289,7 +289,17 @@ def _digest(spans: pd.Series, items: pd.Series) -> pd.DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """_row, doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, for every document."""
-    rows = keyed(docs, id_col, text_col)
+    return _contamination(keyed(docs, id_col, text_col), benchmark, window, item_id_col, item_text_col)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of any item."""
+    rows = keyed(docs, id_col, text_col, rest=True)
+    gone = _contamination(rows, benchmark, window, item_id_col, item_text_col).where("contaminated").select(ROW)
+    return original(rows.select(ROW, "text", REST).join(gone, ROW, "left_anti"), docs, text_col)
+
+
+def _contamination(rows: DataFrame, benchmark: DataFrame, window: int, item_id_col: str, item_text_col: str) -> DataFrame:
     parts = list(item_parts(benchmark, item_id_col, item_text_col)) or [Items.parse([])]
     found = None
     for part in parts:

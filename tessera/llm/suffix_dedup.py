@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import _text as T
 from tessera.llm._segments import Spec, repeated_windows, unit_flags
-from tessera.llm._store import REST, ROW, keyed
+from tessera.llm._store import REST, ROW, keyed, original
 
 #: Bytes of whole groups that one transform is built for, if no group is larger.
 COLLECTION_BYTES = 1 << 18
@@ -228,7 +229,7 @@ def _result_rows(window: int, words: int | None, searched: int, rest: bool):
                     n_removed.append(int(gone.sum()))
                     n_spans.append(len(T.spans(gone)[0]))
                     digests.append(hashlib.sha256(kept).hexdigest())
-                    kept_texts.append(kept.decode("utf-8", "ignore") if rest else None)
+                    kept_texts.append(kept.decode("utf-8", "ignore") if rest and batch.column("text")[part.first + i].is_valid else None)
                 columns = [ids.slice(part.first, part.n), pa.array(np.diff(part.offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if rest:
@@ -242,27 +243,43 @@ def _result_rows(window: int, words: int | None, searched: int, rest: bool):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+def _found(rows: DataFrame, window: int, words: int | None) -> tuple[DataFrame, int]:
+    """``rows`` (_row, doc_id, text [, _rest]) with the spans that repeat, and the length of the strings searched."""
+    searched = window if words is None else max(1, min(window, 2 * words - 1))
+    spec = Spec(words=False, window=searched, gram=max(1, min(24, searched // 4)), piece=2 * searched)
+    return rows.join(repeated_windows(rows, spec, _engine(searched), 4 << 20), ROW, "left"), searched
+
+
+def remove_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """Each document without the bytes covered by a ``window``-byte string that also starts anywhere else.
 
     With ``words``, repeated passages of so many words go too, however few bytes they have: strings as short as
     the shortest such passage (words of one byte) are searched, and of the stretches that they cover, those of
     ``window`` bytes or ``words`` whole words go.  A stretch may join passages that repeat in different places.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``rest`` names columns to pass on,
-    kept_text (the remaining bytes as UTF-8, without the pieces of a character cut in two) and those columns
-    in the struct ``_rest``.
+    Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256.
     """
-    rows = keyed(docs, id_col, text_col)
-    searched = window if words is None else max(1, min(window, 2 * words - 1))
-    spec = Spec(words=False, window=searched, gram=max(1, min(24, searched // 4)), piece=2 * searched)
-    spans = repeated_windows(rows, spec, _engine(searched), 4 << 20)
-    schema = RESULT
-    if rest:
-        kept = docs.select(F.struct(*["`" + c.replace("`", "``") + "`" for c in rest]).alias(REST))
-        rows = docs.select(F.monotonically_increasing_id().alias(ROW), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(*["`" + c.replace("`", "``") + "`" for c in rest]).alias(REST))
-        schema += f", kept_text string, {REST} {kept.schema[REST].dataType.simpleString()}"
-    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans", *[REST] * bool(rest)).mapInArrow(_result_rows(window, words, searched, bool(rest)), schema)
+    found, searched = _found(keyed(docs, id_col, text_col), window, words)
+    return found.select("doc_id", "text", "spans").mapInArrow(_result_rows(window, words, searched, False), RESULT)
+
+
+def without_repeated_bytes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, length_col: str | None = None) -> DataFrame:
+    """``docs`` with the texts that ``remove_repeated_bytes`` leaves, without the pieces of a character cut in two.
+
+    Rows that nothing is left of go; rows without text stay.  ``length_col`` names a column that gets the new
+    number of characters, where it isn't null; the other columns are as they were.
+    """
+    rows = keyed(docs, id_col, text_col, rest=True)
+    found, searched = _found(rows, window, words)
+    schema = StructType.fromDDL(RESULT + ", kept_text string").add(rows.schema[REST])
+    kept = found.select("doc_id", "text", "spans", REST).mapInArrow(_result_rows(window, words, searched, True), schema)
+    kept = kept.where("n_bytes = 0 or n_removed < n_bytes")
+    instead = {}
+    if length_col is not None and length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        had = F.col(f"{REST}.c{docs.columns.index(length_col)}")
+        instead[length_col] = F.when(had.isNotNull(), F.char_length("kept_text").cast(kind))
+    return original(kept, docs, text_col, F.col("kept_text"), **instead)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

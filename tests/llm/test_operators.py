@@ -208,9 +208,11 @@ def test_trie_and_long_words_agree():
     assert token_counts.Counter({"ab": -1.0, "a": -0.5, "b": -0.5}).counts(["ab", "aab", "c"]).tolist() == [1, 2, 1]
 
 
-@pytest.mark.parametrize("small", [48, 0])
-def test_near_dedup(docs, texts, empty, monkeypatch, small):
-    monkeypatch.setattr(near_dedup, "FEW", 2 if small else 32)
+@pytest.mark.parametrize("few, block", [(24, 2048), (0, 2)])
+def test_near_dedup(docs, texts, empty, monkeypatch, few, block):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300 * block)
     words = [WORD.findall((t or "").translate(LOW)) for t in texts]
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
     root = list(range(len(sets)))
