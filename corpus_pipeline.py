@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._store import ROW, written
-from tessera.llm.decontamination import contamination
+from tessera.llm._store import written
+from tessera.llm.decontamination import without_contaminated
 from tessera.llm.mixing import mix
-from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.near_dedup import without_near_duplicates
 from tessera.llm.quality import fitted, with_scores
-from tessera.llm.suffix_dedup import remove_repeated_bytes
+from tessera.llm.suffix_dedup import without_repeated_bytes
 
 ACCEPT = 0.7
 #: Words of the shortest repeated passage that goes, however few bytes it has.
@@ -31,22 +31,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(gone, ROW, "left_anti").select(*docs.columns)
+    return without_near_duplicates(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 400 bytes or of over 50 words that are anywhere else too; texts that nothing is left of go."""
-    kept = remove_repeated_bytes(docs, rest=tuple(docs.columns), words=PASSAGE_WORDS).where("n_bytes = 0 or n_removed < n_bytes")
-    fields = [F.col(f"_rest.{c}").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
-    text = F.when(F.col("_rest.text").isNotNull(), F.col("kept_text"))
-    return kept.select(*fields, text.alias("text"), F.when(F.col("_rest.n_chars").isNotNull(), F.char_length("kept_text").cast("long")).alias("n_chars")).select(*docs.columns)
+    return without_repeated_bytes(docs, words=PASSAGE_WORDS, length_col="n_chars")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    gone = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(gone, ROW, "left_anti").select(*docs.columns)
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
