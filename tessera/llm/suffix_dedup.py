@@ -4,15 +4,21 @@ Texts are cut into segments by anchor (see ``_segments``), so a 400-byte string
 group of segments.  For each bounded collection of groups the transform is built as for multi-document
 indexes: every round inserts one symbol of each segment, from the last to the first, at the place that the
 transform so far gives it.  A symbol is a word with the white space byte that ends it, so a segment takes some
-90 rounds instead of 600.  The same columns then give the common prefixes, one symbol deeper each round.  A
-window whose inner symbols no other suffix shares can't repeat; the others are compared by a hash of the whole
-window, edges included, which is the exact check that follows.
+90 rounds instead of 600; symbols are numbered in the order of their bytes, so the order of suffixes is that of
+their bytes.  The same columns then give the common prefixes of neighbours, one symbol deeper each round, and
+the bytes of the first symbols that differ complete them.
 
-The collections are a few megabytes, so the arrays that the published algorithm keeps in sequential external
-files are read and rewritten in order in memory; nothing goes to a machine's own disk.
+The common prefixes decide.  A window begins with the rest of a symbol; two windows are equal if these rests are
+equal and the suffixes after them have a common prefix of what the window still lacks.  Among windows with equal
+rests, in the order of the suffixes after them, a window repeats if that holds for one of its two neighbours,
+whose common prefix is the smallest between their places.  Windows of equal segments repeat by themselves.
+
+The collections are a few hundred kilobytes, so the arrays that the published algorithm keeps in sequential
+external files are read and rewritten in order in memory; nothing goes to a machine's own disk.
 
 Nulls are empty texts: no bytes, nothing removed, the hash of the empty string.  Repeated rows count as
-documents of their own.  Empty table: empty result.  Other columns are ignored, or passed on in ``_rest``.
+documents of their own.  Empty table: empty result.  Other columns are ignored, or passed on by
+``without_repeated_bytes``.
 """
 
 from __future__ import annotations
@@ -32,7 +38,9 @@ from tessera.llm._store import REST, ROW, keyed, original
 
 #: Bytes of whole groups that one transform is built for, if no group is larger.
 COLLECTION_BYTES = 1 << 18
-#: Symbols end after these bytes.
+#: Most bytes of a symbol; where words are longer, symbols end after further bytes.
+LONGEST = 64
+#: Symbols end after these bytes, if no word is longer than LONGEST.
 ENDS = np.zeros(256, bool)
 ENDS[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -88,26 +96,27 @@ class ColumnIndex:
         place[idle] = renamed[place[idle]]
         place[live] = fresh
 
-    def classes(self) -> Iterator[np.ndarray]:
-        """For depth 1, 2, ...: a number for each place, equal for suffixes that share so many symbols.
+    def common(self, most: int) -> np.ndarray:
+        """How many symbols each suffix shares with the one before it, up to ``most``; 0 for the first.
 
-        Suffixes too short for the depth are in a class of their own.  Places where the number doesn't change
-        have a longest common prefix of at least the depth.
+        Each round goes one symbol deeper: two neighbours that begin alike share one symbol more than the
+        suffixes without that symbol do, between whose places no pair may have parted before.
         """
         n = len(self.first)
-        short = np.zeros(n, bool)
-        differ = np.ones(n, bool)
-        differ[1:] = self.first[1:] != self.first[:-1]
-        while True:
-            number = np.cumsum(differ)
-            yield number
-            ends = self.tail < 0
-            tail = np.where(ends, 0, self.tail)
-            short_now = ends | short[tail]
-            below = number[tail]
-            differ = differ | short_now
-            differ[1:] |= (below[1:] != below[:-1]) | short_now[:-1]
-            short = short_now
+        depth = np.zeros(n, np.int32)
+        parted = np.ones(n, bool)
+        parted[1:] = self.first[1:] != self.first[:-1]
+        live = np.flatnonzero(~parted)
+        for _ in range(most):
+            if not len(live):
+                break
+            depth[live] += 1
+            number = np.cumsum(parted)
+            a, b = self.tail[live - 1], self.tail[live]
+            more = (a >= 0) & (b >= 0) & (number[a] == number[b])
+            parted[live[~more]] = True
+            live = live[more]
+        return depth
 
 
 def _places(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -123,15 +132,73 @@ def _places(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.nd
         high = np.where(live & ~right, middle, high)
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each symbol, the symbols as small numbers, and the index of each segment's first symbol."""
-    begins = np.zeros(len(data), bool)
-    begins[1:] = ENDS[data[:-1]]
-    begins[offsets[:-1]] = True
-    starts = np.flatnonzero(begins)
-    ends = np.append(starts[1:], len(data))
-    _, number = np.unique(T.Slice(0, data, offsets).word_hashes(starts, ends), return_inverse=True)
-    return starts, number.astype(np.int64), np.searchsorted(starts, offsets)
+def _symbols(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Start of each symbol, their numbers, the symbols in order, and the index of each segment's first symbol.
+
+    A symbol ends after a byte of ENDS, at the end of its segment, and, until none is longer than ``longest``,
+    after the byte that is most frequent in the longer ones.  Which byte ends a symbol doesn't depend on what is
+    before it, so equal stretches are cut alike.
+    """
+    ends = ENDS.copy()
+    while True:
+        begins = np.zeros(len(data), bool)
+        begins[1:] = ends[data[:-1]]
+        begins[offsets[:-1]] = True
+        starts = np.flatnonzero(begins)
+        size = np.diff(np.append(starts, len(data)))
+        if size.max(initial=0) <= longest:
+            break
+        over = data[np.repeat(size > longest, size)]
+        ends[np.bincount(over[~ends[over]], minlength=256).argmax()] = True
+    blob, edges = data.tobytes(), np.append(starts, len(data)).tolist()
+    words = [blob[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    types = sorted(set(words))
+    number = {w: i for i, w in enumerate(types)}
+    return starts, np.fromiter((number[w] for w in words), np.int64, len(words)), types, np.searchsorted(starts, offsets)
+
+
+def common_bytes(index: ColumnIndex, data: np.ndarray, starts: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it, counted beyond whole symbols, up to ``window``."""
+    n = len(index.at)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    depth = index.common(window)[1:].astype(np.int64)
+    edges = np.append(starts, len(data))
+    last = first[np.searchsorted(first, index.at, side="right")]  # end of each suffix's segment
+    a, b = index.at[:-1] + depth, index.at[1:] + depth
+    shared = edges[b] - edges[index.at[1:]]
+    size = np.minimum(np.where(a < last[:-1], edges[np.minimum(a + 1, len(starts))] - edges[a], 0), np.where(b < last[1:], edges[np.minimum(b + 1, len(starts))] - edges[b], 0))
+    x, y = edges[a], edges[b]
+    live = np.flatnonzero((size > 0) & (shared < window))
+    k = 0
+    while len(live):
+        live = live[data[x[live] + k] == data[y[live] + k]]
+        shared[live] += 1
+        k += 1
+        live = live[size[live] > k]
+    out[1:] = np.minimum(shared, window)
+    return out
+
+
+class Minima:
+    """The smallest of any stretch of values, by stretches of powers of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            have, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(have[:-step], have[step:]))
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest of values[low:high], each at least one long."""
+        out = np.empty(len(low), self.levels[0].dtype)
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        for d in np.unique(level).tolist():
+            at = np.flatnonzero(level == d)
+            values = self.levels[d]
+            out[at] = np.minimum(values[low[at]], values[high[at] - (1 << d)])
+        return out
 
 
 def _engine(window: int):
@@ -164,44 +231,35 @@ def repeated(contents: list[bytes], weights: np.ndarray, window: int) -> list[np
     """For each of the contents, which of its windows occur more than once, by weight, in all of them."""
     offsets = np.concatenate(([0], np.cumsum([len(c) for c in contents]))).astype(np.int64)
     data = np.frombuffer(b"".join(contents), np.uint8)
-    starts, symbols, first = _symbols(data, offsets)
+    starts, symbols, types, first = _symbols(data, offsets, min(LONGEST, window))
     index = ColumnIndex(symbols, first)
-    place = np.empty(len(symbols), np.int64)
+    minima = Minima(common_bytes(index, data, starts, first, window))
+    place = np.empty(len(symbols) + 1, np.int64)
     place[index.at] = np.arange(len(symbols))
-    owner = np.repeat(np.arange(len(contents)), np.diff(first))
+    place[-1] = 0
 
-    # For each window: its first whole symbol, and how many whole symbols there are.  A segment may begin or
-    # end inside a word, so only what lies between two end bytes of the window itself counts as whole.
-    valid = T.covered(len(data) - window + 1, offsets[:-1], np.maximum(offsets[1:] - window + 1, offsets[:-1]))
+    # Each window: the rest of the symbol that it begins in, and the suffix after that.
+    valid = T.covered(len(data), offsets[:-1], np.maximum(offsets[1:] - window + 1, offsets[:-1]))
     at = np.flatnonzero(valid)
-    bounds = np.append(np.flatnonzero(ENDS[data]) + 1, len(data))
-    inner = np.searchsorted(bounds, at + 1, side="left")
-    depth = np.searchsorted(bounds[:-1], at + window, side="right") - 1 - inner
-    head = np.searchsorted(starts, bounds[inner])
-    candidate = depth < 1  # no whole symbol inside: left to the check of whole windows
-    asked, back = np.unique(head * (window + 2) + np.maximum(depth, 0), return_inverse=True)
-    heads, depths = asked // (window + 2), asked % (window + 2)
-    shared = np.zeros(len(asked), bool)
-    by_depth = np.argsort(depths, kind="stable")
-    limits = np.searchsorted(depths[by_depth], np.arange(depths.max(initial=0) + 2))
-    weight_of = weights[owner[index.at]]
-    levels = index.classes()
-    for d in range(1, int(depths.max(initial=0)) + 1):
-        number = next(levels)
-        these = by_depth[limits[d] : limits[d + 1]]
-        if len(these):
-            total = np.bincount(number, weight_of)
-            shared[these] = total[number[place[np.minimum(heads[these], len(place) - 1)]]] > 1
-    candidate |= shared[back]
-
-    sums = T.prefix_sums(data.astype(T.U64) + T.U64(1), T.BASE)
-    at = at[candidate]
-    whole = T.mix((sums[at + window] - sums[at]) * T.powers(T.BASE_INV, len(sums))[at])
-    row = np.searchsorted(offsets, at, side="right") - 1
-    _, which = np.unique(whole, return_inverse=True)
+    inside = np.cumsum(np.bincount(starts, minlength=len(data))) - 1
+    symbol = inside[at]
+    names: dict[bytes, int] = {}
+    rests = np.array([names.setdefault(t[o:], len(names)) for t in types for o in range(len(t))], np.int64)
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in types])))
+    rest = rests[begin[symbols[symbol]] + at - starts[symbol]]
+    after = place[symbol + 1]
+    lacks = window - (np.append(starts, len(data))[symbol + 1] - at)
+
+    order = np.argsort(rest * (len(symbols) + 1) + after, kind="stable")
+    rest, after, lacks = rest[order], after[order], lacks[order]
+    same = rest[1:] == rest[:-1]
+    # A window that lacks nothing after its first symbol is equal to all with that rest.
+    open_ = np.flatnonzero(same & (lacks[1:] > 0))
+    same[open_] = minima.least(after[open_] + 1, after[open_ + 1] + 1) >= lacks[open_ + 1]
     found = np.zeros(len(data) + 1, bool)
-    if len(at):
-        found[at[np.bincount(which, weights[row])[which] > 1]] = True
+    found[at[order[:-1][same]]] = found[at[order[1:][same]]] = True
+    owner = np.repeat(weights > 1, np.diff(offsets))
+    found[:-1] |= valid & owner
     return [found[offsets[i] : max(offsets[i], offsets[i + 1] - window + 1)] for i in range(len(contents))]
 
 

@@ -100,12 +100,27 @@ def test_column_index_is_a_transform():
     suffixes = [symbols[a : offsets[owner[a] + 1]].tolist() for a in index.at]
     assert suffixes == sorted(suffixes) and len(suffixes) == len(symbols)
     assert [b for b in index.bwt] == [-1 if a == offsets[owner[a]] else symbols[a - 1] for a in index.at]
-    levels = index.classes()
-    for depth in range(1, 5):
-        number = next(levels)
-        for x in range(1, len(suffixes)):
-            a, b = suffixes[x - 1], suffixes[x]
-            assert (number[x] == number[x - 1]) == (len(a) >= depth and len(b) >= depth and a[:depth] == b[:depth])
+    for most in (2, 9):
+        shared = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(suffixes, suffixes[1:])]
+        assert index.common(most).tolist() == [min(x, most) for x in shared]
+
+
+@pytest.mark.parametrize("window", [1, 3, 7, 40])
+def test_common_prefixes_decide(window):
+    rng = random.Random(window)
+    for trial in range(120):
+        alphabet = rng.choice(["ab ", "abc  ", "a", "xyzé \n", "abcdefgh "])
+        contents = list({"".join(rng.choices(alphabet, k=rng.randint(window, 60 + window))).encode() for _ in range(rng.randint(1, 6))})
+        contents = [c for c in contents if len(c) >= window]
+        if rng.random() < 0.7:
+            contents.append(contents[0][: window + 3] + b"zz" * 50 + contents[-1][-window - 2 :])
+        weights = np.array([rng.choice([1, 1, 1, 2]) for _ in contents])
+        seen = Counter()
+        for c, w in zip(contents, weights, strict=True):
+            for i in range(len(c) - window + 1):
+                seen[c[i : i + window]] += int(w)
+        want = [[seen[c[i : i + window]] > 1 for i in range(len(c) - window + 1)] for c in contents]
+        assert [f.tolist() for f in suffix_dedup.repeated(contents, weights, window)] == want
 
 
 def test_top_k(spark):
