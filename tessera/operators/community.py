@@ -1,8 +1,8 @@
 """Community detection with pinned labels, and what follows from a partition.
 
-The kernel runs in one task over the edge list, which has a few entries an observation: seeded local moving to a
-fixed point, then merging of whole communities, repeated until nothing improves.  Vertices with a label stay in
-their label's community, two labels never meet.
+Every connected component of the graph is a task of its own: seeded local moving from a queue, refinement of each
+community into connected pieces, and the same again over the pieces, until nothing improves.  Vertices with a
+label stay in their label's community, two labels never meet.
 """
 
 from __future__ import annotations
@@ -12,15 +12,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import discard, written
+
+#: Most passes over all levels, each from single vertices on with the communities of the one before.
+ITERATIONS = 4
+#: Edges up to which the whole graph is one task; larger ones are cut into connected components first.
+ONE_TASK = 1_000_000
 METRICS = ("cpm", "modularity", "rbc", "rber", "significance", "surprise")
 
 
 def initial_partition(vertices: DataFrame) -> DataFrame:
-    """(id, comm, pinned) of (id, label): labels in order from 0, then a community for each other vertex."""
-    labels = vertices.where("label is not null").select("label").distinct().withColumn("comm", F.row_number().over(Window.orderBy("label")) - 1)
-    known = vertices.join(F.broadcast(labels), "label").select("id", F.col("comm").cast("long").alias("comm"), F.lit(True).alias("pinned"))
-    n = labels.count()
-    free = vertices.where("label is null").select("id", (F.row_number().over(Window.orderBy("id")) - 1 + n).cast("long").alias("comm"), F.lit(False).alias("pinned"))
+    """(id, comm, pinned) of (id, label): labels in order from 0, then a community for each other vertex by id.
+
+    The other vertices are numbered by range partitions and counts of those before, not in one task.
+    """
+    names = sorted(r[0] for r in vertices.where("label is not null").select("label").distinct().collect())  # labels are few
+    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("label")) - 1 if names else F.lit(0)
+    known = vertices.where("label is not null").select("id", place.cast("long").alias("comm"), F.lit(True).alias("pinned"))
+    held = vertices.where("label is null").select("id").repartitionByRange("id").withColumn("range", F.spark_partition_id())
+    held = written(held, "ranges")
+    sizes = held.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()  # a row a partition
+    before, total = [], len(names)
+    for r in sizes:
+        before.append((r["range"], total))
+        total += r["n"]
+    begins = vertices.sparkSession.createDataFrame(before, "range int, before long")
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("id"))
+    free = held.join(F.broadcast(begins), "range").select("id", (F.col("before") + rank - 1).cast("long").alias("comm"), F.lit(False).alias("pinned"))
     return known.unionByName(free)
 
 
@@ -80,104 +98,255 @@ class _State:
         return self.surprise(self.inner + e, self.pairs + pairs) - self.surprise(self.inner, self.pairs)
 
 
-def _move(neighbours: list[dict], own: np.ndarray, size: np.ndarray, degree: np.ndarray, fixed: np.ndarray, comm: np.ndarray, state: _State, rng) -> bool:
-    """Local moving of nodes to a fixed point, in place; nodes may be whole communities."""
-    n = len(neighbours)
-    e, s, k = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+class _Graph:
+    """Weighted neighbours of nodes in rows: those of node v are at pointer[v]:pointer[v + 1]."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, own: np.ndarray, size: np.ndarray, degree: np.ndarray):
+        a, b, w = np.concatenate((src, dst)), np.concatenate((dst, src)), np.concatenate((weight, weight))
+        order = np.lexsort((b, a))
+        self.n, self.ends, self.weights = n, b[order].tolist(), w[order].tolist()
+        self.pointer = np.searchsorted(a[order], np.arange(n + 1)).tolist()
+        self.own, self.size, self.degree = own, size, degree
+
+    @staticmethod
+    def of(node: np.ndarray, src: np.ndarray, dst: np.ndarray) -> _Graph:
+        """The graph of groups of vertices: ``node`` has each vertex's group."""
+        n = int(node.max(initial=-1)) + 1
+        x, y = node[src], node[dst]
+        inner = x == y
+        low, high = np.minimum(x, y)[~inner], np.maximum(x, y)[~inner]
+        pairs, weight = np.unique(low * max(n, 1) + high, return_counts=True)
+        own = np.bincount(x[inner], minlength=n).astype(float)
+        return _Graph(n, pairs // max(n, 1), pairs % max(n, 1), weight.astype(float), own, np.bincount(node, minlength=n).astype(float), (np.bincount(x, minlength=n) + np.bincount(y, minlength=n)).astype(float))
+
+
+def _move(graph: _Graph, fixed: np.ndarray, comm: np.ndarray, state: _State, rng, within: np.ndarray | None = None) -> bool:
+    """Local moving of nodes in place, until no node in the queue gains by a move.
+
+    ``within``: nodes stay in the parts it names, start alone, and move once, only while still alone
+    (refinement); a part then splits into connected pieces.
+    """
+    n = graph.n
+    own, size, degree = graph.own.tolist(), graph.size.tolist(), graph.degree.tolist()
+    place = comm.tolist()
+    e, s, k, members = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n
     for v in range(n):
-        s[comm[v]] += size[v]
-        k[comm[v]] += degree[v]
-        e[comm[v]] += own[v] + sum(w for u, w in neighbours[v].items() if comm[u] == comm[v] and u < v)
-    state.inner, state.pairs = e.sum(), (s * (s - 1) / 2).sum()
-    moved_ever = False
-    for _ in range(100):
-        moved = False
-        for v in rng.permutation(n):
-            if fixed[v]:
-                continue
-            links: dict[int, float] = {}
-            for u, w in neighbours[v].items():
-                links[comm[u]] = links.get(comm[u], 0.0) + w
-            c = comm[v]
-            now = (e[c], s[c], k[c])
-            left = (e[c] - own[v] - links.get(c, 0.0), s[c] - size[v], k[c] - degree[v])
-            targets = sorted(x for x in links if x != c)
-            if left[1] > 0:
-                targets.append(int(np.flatnonzero(s == 0)[0]))
-            best, to = 1e-9, c
-            for x in targets:
-                have = (e[x], s[x], k[x])
-                got = (e[x] + own[v] + links.get(x, 0.0), s[x] + size[v], k[x] + degree[v])
-                gain = state.gain([now, have], [left, got])
-                if gain > best:
-                    best, to = gain, x
-            if to != c:
-                e[to] += own[v] + links.get(to, 0.0)
-                e[c], s[c], k[c] = left
-                s[to] += size[v]
-                k[to] += degree[v]
-                comm[v] = to
-                state.inner, state.pairs = e.sum(), (s * (s - 1) / 2).sum()
-                moved = moved_ever = True
-        if not moved:
-            break
-    return moved_ever
+        c = place[v]
+        s[c] += size[v]
+        k[c] += degree[v]
+        members[c] += 1
+        e[c] += own[v] + sum(graph.weights[i] for i in range(graph.pointer[v], graph.pointer[v + 1]) if graph.ends[i] < v and place[graph.ends[i]] == c)
+    state.inner, state.pairs = sum(e), sum(x * (x - 1) / 2 for x in s)
+    empty = [c for c in range(n) if not members[c]]
+    part = within.tolist() if within is not None else None
+    still = (~fixed).tolist()
+    queue = [v for v in rng.permutation(n).tolist() if still[v]]
+    queued = [bool(x) for x in still]
+    begun = 0
+    moved = False
+    while begun < len(queue):
+        v = queue[begun]
+        begun += 1
+        if begun > 1 << 16 and begun * 2 > len(queue):
+            queue, begun = queue[begun:], 0
+        queued[v] = False
+        c = place[v]
+        if part is not None and members[c] > 1:
+            continue
+        links: dict[int, float] = {}
+        for i in range(graph.pointer[v], graph.pointer[v + 1]):
+            u = graph.ends[i]
+            if part is None or part[u] == part[v]:
+                links[place[u]] = links.get(place[u], 0.0) + graph.weights[i]
+        now = (e[c], s[c], k[c])
+        left = (e[c] - own[v] - links.get(c, 0.0), s[c] - size[v], k[c] - degree[v])
+        targets = sorted(x for x in links if x != c)
+        if members[c] > 1 and part is None:
+            targets.append(empty[-1])
+        best, to = 1e-9, c
+        for x in targets:
+            have = (e[x], s[x], k[x])
+            got = (e[x] + own[v] + links.get(x, 0.0), s[x] + size[v], k[x] + degree[v])
+            gain = state.gain([now, have], [left, got])
+            if gain > best:
+                best, to = gain, x
+        if to == c:
+            continue
+        if not members[to]:
+            empty.pop()
+        state.inner -= e[c] + e[to]
+        state.pairs -= (s[c] * (s[c] - 1) + s[to] * (s[to] - 1)) / 2
+        e[to] += own[v] + links.get(to, 0.0)
+        e[c], s[c], k[c] = left
+        s[to] += size[v]
+        k[to] += degree[v]
+        state.inner += e[c] + e[to]
+        state.pairs += (s[c] * (s[c] - 1) + s[to] * (s[to] - 1)) / 2
+        members[c] -= 1
+        members[to] += 1
+        if not members[c]:
+            empty.append(c)
+        place[v] = to
+        moved = True
+        if part is None:
+            for i in range(graph.pointer[v], graph.pointer[v + 1]):
+                u = graph.ends[i]
+                if still[u] and not queued[u] and place[u] != to:
+                    queued[u] = True
+                    queue.append(u)
+    comm[:] = place
+    return moved
+
+
+def _numbered(parts: np.ndarray, first: int) -> np.ndarray:
+    """The parts with numbers from ``first`` on closed up; those below it keep theirs."""
+    out = parts.copy()
+    free = parts >= first
+    _, number = np.unique(parts[free], return_inverse=True)
+    out[free] = first + number
+    return out
 
 
-def detect(ids: np.ndarray, labels: np.ndarray, src: np.ndarray, dst: np.ndarray, metric: str, resolution: float, seed: int) -> np.ndarray:
-    """Community of each vertex: labels in order first, then the others by size (largest first) and smallest id."""
+def detect(ids: np.ndarray, labels: np.ndarray, src: np.ndarray, dst: np.ndarray, metric: str, resolution: float, seed: int, totals: tuple[int, int] | None = None) -> np.ndarray:
+    """Community of each vertex: labels in order first, then the others by size (largest first) and smallest id.
+
+    Each level moves nodes between communities, refines every community without a label from single nodes on
+    into connected pieces, and goes on with the pieces as nodes, placed as their communities were.
+    ``totals``: edges and vertices of the whole graph, where this is one component of it.
+    """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    place = {v: i for i, v in enumerate(ids.tolist())}
+    order = np.argsort(ids, kind="stable")
+    src, dst = (order[np.searchsorted(ids[order], x)] for x in (src, dst))
     names = sorted({x for x in labels if x is not None})
-    n = len(ids)
-    comm = np.array([names.index(x) if x is not None else -1 for x in labels], int)
-    comm[comm < 0] = len(names) + np.arange((comm < 0).sum())
-    node = comm.copy()  # a label's vertices are one node from the start
-    state = _State(metric, resolution, len(src), n)
+    number = {x: i for i, x in enumerate(names)}
+    n, pinned = len(ids), len(names)
+    node = np.array([number[x] if x is not None else -1 for x in labels], np.int64)
+    free = node < 0
+    node[free] = pinned + np.arange(free.sum())  # a label's vertices are one node from the start
+    m, vertices = totals or (len(src), n)
+    state = _State(metric, resolution, m, vertices)
     rng = np.random.default_rng(seed)
-    while True:
-        count = int(node.max(initial=-1)) + 1
-        size, degree, own = np.bincount(node, minlength=count).astype(float), np.zeros(count), np.zeros(count)
-        neighbours: list[dict] = [{} for _ in range(count)]
-        for a, b in zip(src.tolist(), dst.tolist(), strict=True):
-            x, y = int(node[place[a]]), int(node[place[b]])
-            degree[x] += 1
-            degree[y] += 1
-            if x == y:
-                own[x] += 1
+    single = node.copy()
+    found = node.copy()  # the community of each vertex
+    for _ in range(ITERATIONS if n else 0):
+        before = found
+        node, comm = single, found[np.unique(single, return_index=True)[1]]
+        while True:
+            graph = _Graph.of(node, src, dst)
+            fixed = np.arange(graph.n) < pinned
+            # Community numbers name nodes: each is that of its smallest node, so a label's stays.
+            least = np.full(int(comm.max()) + 1, graph.n)
+            np.minimum.at(least, comm, np.arange(graph.n))
+            comm = least[comm]
+            moved = _move(graph, fixed, comm, state, rng)
+            groups = np.bincount(comm, minlength=graph.n)
+            if not moved and groups.max() <= 1:
+                break
+            if moved:  # pieces of each community; what is with a label is one piece with it
+                piece = np.where(comm < pinned, comm, np.arange(graph.n))
+                _move(graph, comm < pinned, piece, state, rng, within=comm)
             else:
-                neighbours[x][y] = neighbours[x].get(y, 0.0) + 1
-                neighbours[y][x] = neighbours[y].get(x, 0.0) + 1
-        comm = np.arange(count)
-        moved = _move(neighbours, own, size, degree, np.arange(count) < len(names), comm, state, rng)
-        _, flat = np.unique(np.where(comm < len(names), comm, comm + len(names)), return_inverse=True)
-        node = flat[node] if count else node
-        if not moved:
+                piece = comm
+            piece = _numbered(piece, pinned)
+            if len(np.unique(piece)) == graph.n:
+                piece = _numbered(comm, pinned)  # all single: whole communities go on
+            after = np.zeros(int(piece.max()) + 1, np.int64)
+            after[piece] = comm
+            node, comm = piece[node], after
+        found = _numbered(comm[node], pinned)
+        if (found == before).all():
             break
-    free = [(c, np.flatnonzero(node == c)) for c in range(len(names), int(node.max(initial=-1)) + 1)]
-    order = sorted(free, key=lambda x: (-len(x[1]), ids[x[1]].min() if len(x[1]) else 0))
-    out = node.copy()
-    for rank, (_, members) in enumerate(order):
-        out[members] = len(names) + rank
-    return out
+    out = _connected(found, pinned, src, dst)
+    groups = np.bincount(out, minlength=pinned)
+    first = np.full(len(groups), np.iinfo(np.int64).max)
+    np.minimum.at(first, out, ids)
+    rank = np.lexsort((first[pinned:], -groups[pinned:]))
+    renamed = np.concatenate((np.arange(pinned), np.empty(len(rank), np.int64)))
+    renamed[pinned + rank] = pinned + np.arange(len(rank))
+    return renamed[out]
+
+
+def _connected(comm: np.ndarray, pinned: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The communities from ``pinned`` on cut into connected ones, numbers closed up."""
+    root = np.arange(len(comm))
+    inner = comm[src] == comm[dst]
+    a, b = src[inner], dst[inner]
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    return _numbered(np.where(comm < pinned, comm, pinned + root), pinned)
+
+
+def graph_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, part): the smallest vertex that each vertex can reach; a label's vertices count as joined."""
+    first = vertices.where("label is not null").groupBy("label").agg(F.min("id").alias("first"))
+    joined = vertices.join(F.broadcast(first), "label").select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    links = edges.select("src", "dst").unionByName(joined).where("src <> dst")
+    links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    links = written(links, "links")
+    parts = written(vertices.select("id", F.col("id").alias("part")), "parts")
+    while True:
+        near = links.join(parts.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("part").alias("near"))
+        better = parts.join(near, "id", "left").select("id", F.least("part", F.coalesce("near", "part")).alias("part"))
+        # Jump to the part of the part, so a path is halved each round.
+        roots = better.select(F.col("id").alias("part"), F.col("part").alias("root"))
+        jumped = written(better.join(roots, "part").select("id", F.col("root").alias("part")), "parts")
+        changed = jumped.join(parts.withColumnRenamed("part", "was"), "id").where("part <> was").limit(1).count()
+        discard(parts)
+        parts = jumped
+        if not changed:
+            discard(links)
+            return parts
 
 
 def pinned_communities(edges: DataFrame, vertices: DataFrame, metric: str = "cpm", resolution: float = 0.001, seed: int = 0) -> DataFrame:
-    """(id, comm) of vertices (id, label or null) and undirected edges (src, dst)."""
+    """(id, comm) of vertices (id, label or null) and undirected edges (src, dst).
+
+    The quality adds up over the connected components of the graph (a label's vertices joined) for all metrics
+    but surprise, and no community that gains anything crosses them, so beyond ONE_TASK edges each component is
+    a task of its own; for surprise the graph is one.  Communities are numbered over all components, labels first.
+    """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    nodes = vertices.select(F.lit(0).alias("g"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), "id", F.col("label").cast("string").alias("label"))
-    links = edges.select(F.lit(0).alias("g"), "src", "dst", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("label"))
+    every = sorted(r[0] for r in vertices.where("label is not null").select(F.col("label").cast("string")).distinct().collect())  # labels are few
+    m, n = edges.count(), vertices.count()
+    if metric == "surprise" or m <= ONE_TASK:
+        parts = vertices.select("id", F.lit(0).cast("long").alias("part"))
+    else:
+        parts = graph_components(edges, vertices)
+    nodes = vertices.join(parts, "id").select("part", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), "id", F.col("label").cast("string").alias("label"))
+    links = edges.join(parts.withColumnRenamed("id", "src"), "src").select("part", "src", "dst", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("label"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf[pdf["id"].notna()].sort_values("id")
         e = pdf[pdf["id"].isna()].sort_values(["src", "dst"])
         ids = v["id"].to_numpy(np.int64)
         labels = np.array([None if pd.isna(x) else x for x in v["label"]], object)
-        return pd.DataFrame({"id": ids, "comm": detect(ids, labels, e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), metric, resolution, seed)})
+        comm = detect(ids, labels, e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), metric, resolution, seed, (m, n))
+        here = sorted({x for x in labels if x is not None})
+        known = np.array([every.index(x) for x in here], np.int64)
+        pinned = comm < len(here)
+        size = np.bincount(comm)
+        first = np.full(len(size), np.iinfo(np.int64).max)
+        np.minimum.at(first, comm, ids)
+        return pd.DataFrame({"id": ids, "known": np.where(pinned, np.append(known, 0)[np.minimum(comm, len(here))], -1), "size": size[comm], "first": first[comm]})
 
-    return nodes.unionByName(links).groupBy("g").applyInPandas(kernel, "id long, comm long")
+    found = nodes.unionByName(links).groupBy("part").applyInPandas(kernel, "id long, known long, size long, first long")
+    found = written(found, "communities")
+    # Free communities by size and smallest id: ranks within a size, and how many communities of larger sizes there are.
+    free = found.where("known < 0").select("first", "size").distinct()
+    within = free.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy("first")))
+    sizes = free.groupBy("size").agg(F.count(F.lit(1)).alias("n"))  # a row for each size there is
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    numbers = within.join(before, "size").select("first", (F.col("rank") + F.col("before") - 1 + len(every)).cast("long").alias("comm"))
+    known = found.where("known >= 0").select("id", F.col("known").alias("comm"))
+    return known.unionByName(found.where("known < 0").join(numbers, "first").select("id", "comm"))
 
 
 def annotations(parts: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 All-pairs distances are worked out block against block: rows are gathered in blocks of BLOCK vectors, every
 block of queries meets every block of candidates in some task, and only the k best of each pair of blocks leave
-it.  Memory is two blocks a task, whatever the number of rows, and nothing goes through the driver.
+it.  The smaller side is broadcast up to BROADCAST_BYTES, so the other streams past it and only the best are
+shuffled; beyond that memory is two blocks a task, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-BLOCK = 1024
+BLOCK = 512
+#: Differences worked out at once.
+TILE = 1 << 18
+#: Vectors up to so many bytes are sent to every task.
+BROADCAST_BYTES = 64 << 20
 METRICS = ("correlation", "cosine", "euclidean", "sqeuclidean", "cityblock", "chebyshev", "canberra", "braycurtis", "minkowski")
 
 
@@ -30,29 +36,38 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
             a, b = (np.where(n > 1e-12, x / n, np.nan) for x, n in zip((a, b), norms, strict=True))
             return 1 - a @ b.T
         out = np.empty((len(a), len(b)))
-        for i, row in enumerate(a):
-            d = np.abs(b - row)
-            if metric in ("euclidean", "minkowski"):
-                out[i] = np.sqrt((d * d).sum(axis=1))
-            elif metric == "sqeuclidean":
-                out[i] = (d * d).sum(axis=1)
-            elif metric == "cityblock":
-                out[i] = d.sum(axis=1)
+        step = max(1, TILE // max(1, b.size))
+        for i in range(0, len(a), step):
+            rows = a[i : i + step, None, :]
+            d = np.abs(b[None] - rows)
+            if metric in ("euclidean", "sqeuclidean", "minkowski"):
+                d = (d * d).sum(axis=2)
+                out[i : i + step] = d if metric == "sqeuclidean" else np.sqrt(d)
             elif metric == "chebyshev":
-                out[i] = d.max(axis=1)
+                out[i : i + step] = d.max(axis=2)
             elif metric == "canberra":
-                out[i] = np.nan_to_num(d / (np.abs(b) + np.abs(row))).sum(axis=1)
+                out[i : i + step] = np.nan_to_num(d / (np.abs(b[None]) + np.abs(rows))).sum(axis=2)
             else:
-                out[i] = d.sum(axis=1) / np.abs(b + row).sum(axis=1)
+                out[i : i + step] = d.sum(axis=2) / (np.abs(b[None] + rows).sum(axis=2) if metric == "braycurtis" else 1)
         return out
 
 
-def _blocked(rows: DataFrame, name: str) -> DataFrame:
-    n = max(1, -(-rows.count() // BLOCK))
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _blocked(rows: DataFrame, name: str, n: int) -> DataFrame:
     keyed = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), "id", F.transform("v", lambda x: x.cast("double")).alias("v"))
     return keyed.groupBy("b").agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v")).drop("b")
 
 
+def _bytes(rows: DataFrame) -> tuple[int, int]:
+    found = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    return found[0], 8 * found[1]
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "correlation", threshold: float | None = None) -> DataFrame:
     """(src, dst, dist, rank): for each query (id, v) up to k other candidates, nearest first, ties to the smaller id.
 
@@ -74,7 +89,13 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "co
                 row, col = np.nonzero(np.isfinite(d))
                 yield pa.record_batch([pa.array(q_ids[row]), pa.array(c_ids[best[row, col]]), pa.array(d[row, col])], ["src", "dst", "dist"])
 
-    pairs = _blocked(queries, "q").crossJoin(_blocked(candidates, "c")).repartition("q_ids", "c_ids")
+    (n_q, b_q), (n_c, b_c) = _bytes(queries), _bytes(candidates)
+    asked, held = _blocked(queries, "q", -(-n_q // BLOCK) or 1), _blocked(candidates, "c", -(-n_c // BLOCK) or 1)
+    # The smaller side goes to every task if it is small; else both are dealt by blocks.
+    if min(b_q, b_c) <= BROADCAST_BYTES:
+        pairs = held.crossJoin(F.broadcast(asked)) if b_q <= b_c else asked.crossJoin(F.broadcast(held))
+    else:
+        pairs = asked.crossJoin(held)
     found = pairs.select("q_ids", "q_v", "c_ids", "c_v").mapInArrow(rows, "src long, dst long, dist double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))
     return ranked.where(F.col("rank") <= k)
@@ -125,7 +146,7 @@ def principal_components(rows: DataFrame, n: int, weight: str | None = None) ->
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mass, sums, count = None, 0.0, None, 0
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float)
+            x = vectors_of(batch.column(1))
             if not len(x):
                 continue
             g = batch.column(0).to_numpy()
@@ -147,6 +168,14 @@ def principal_components(rows: DataFrame, n: int, weight: str | None = None) ->
     values, vectors = np.linalg.eigh(cov)
     values, vectors = values[::-1][:n], vectors[:, ::-1][:, :n]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(n)])
-    loads = [F.array(*[F.lit(float(x)) for x in vectors[:, j]]) for j in range(n)]
-    score = [F.aggregate(F.zip_with("v", load, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for load in loads]
-    return rows.select(*names, F.array(*score).alias("v")), vectors, values
+    sent = rows.sparkSession.sparkContext.broadcast(vectors)  # features times components
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = vectors_of(batch.column("v"))
+            found = (x @ sent.value if len(x) else x).ravel()
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * n
+            yield pa.record_batch([*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], [*names, "v"])
+
+    schema = StructType([*rows.select(*names).schema.fields, StructField("v", ArrayType(DoubleType()))])
+    return rows.select(*names, "v").mapInArrow(score, schema), vectors, values

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def coverage(expr: DataFrame) -> DataFrame:
@@ -22,18 +28,42 @@ def normalise(expr: DataFrame, offset: float | None = 0.1) -> DataFrame:
 
 
 def log_pseudocount(expr: DataFrame, pseudocount: float = 0.1) -> DataFrame:
+    """log10(value + pseudocount) of the values there are; what isn't there has log10(pseudocount), not 0.
+
+    For all values take ``log_vectors`` of dense rows, as the pipelines do.
+    """
     return expr.withColumn("value", F.log10(F.col("value") + pseudocount))
 
 
+def log_vectors(rows: DataFrame, pseudocount: float = 0.1) -> DataFrame:
+    """Vectors ``v`` with log10(x + pseudocount) at every place, zeros too."""
+    return rows.withColumn("v", F.transform("v", lambda x: F.log10(x + pseudocount)))
+
+
 def log1p10(expr: DataFrame) -> DataFrame:
     return expr.withColumn("value", F.log1p("value") / F.log(F.lit(10.0)))
 
 
 def dense(expr: DataFrame, obs: DataFrame, features: list[str]) -> DataFrame:
-    """(obs columns, v): one array a row of ``obs`` in the order of ``features``, zeros filled in."""
-    held = expr.where(F.col("feature").isin(features)).groupBy("obs").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
-    order = F.array(*[F.lit(f) for f in features])
-    return obs.join(held, "obs", "left").select(*obs.columns, F.transform(order, lambda f: F.coalesce(F.col("m")[f], F.lit(0.0))).alias("v"))
+    """(obs columns, v): one array a row of ``obs`` in the order of ``features``, zeros filled in.
+
+    The features are those selected (some hundreds), so their places can be broadcast.
+    """
+    places = expr.sparkSession.createDataFrame(list(enumerate(features)), "pos int, feature string")
+    held = expr.join(F.broadcast(places), "feature").groupBy("obs").agg(F.collect_list("pos").alias("_pos"), F.collect_list(F.col("value").cast("double")).alias("_val"))
+    names, width = obs.columns, len(features)
+    joined = obs.join(held, "obs", "left").select(*names, "_pos", "_val")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, val = batch.column("_pos"), batch.column("_val")
+            out = np.zeros((batch.num_rows, width))
+            owner = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(pos), 0).to_numpy())
+            out[owner, pos.flatten().to_numpy()] = val.flatten().to_numpy()
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+            yield pa.record_batch([*[batch.column(c) for c in names], vectors], [*names, "v"])
+
+    return joined.mapInArrow(rows, StructType([*obs.schema.fields, StructField("v", ArrayType(DoubleType()))]))
 
 
 def moments(rows: DataFrame, weight: str | None = None) -> DataFrame:

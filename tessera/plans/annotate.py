@@ -6,14 +6,19 @@ Configuration is immutable; values that have to give way to the data are worked
 
 from __future__ import annotations
 
+import logging
 import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import combine, community, features, knn, merge
+from tessera.storage import written
+
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -107,7 +112,7 @@ class Result:
 
 
 def _overlap(atlas: DataFrame, new: DataFrame) -> DataFrame:
-    overlap = features.feature_overlap(atlas, new).cache()
+    overlap = written(features.feature_overlap(atlas, new), "overlap")
     n = overlap.count()
     if not n:
         raise ValueError("atlas and new data share no features")
@@ -116,26 +121,37 @@ def _overlap(atlas: DataFrame, new: DataFrame) -> DataFrame:
     return overlap
 
 
+def _given(name: str, asked: int, used: int) -> int:
+    """The value that the data allow, with a word to the user if it isn't the one asked for."""
+    if used != asked:
+        warnings.warn(f"{name} is {asked}, but the data allow {used} only", stacklevel=4)
+        log.warning("%s reduced from %d to %d", name, asked, used)
+    return used
+
+
 def _finish(rows: DataFrame, wide: DataFrame, names: list[str], overlap: DataFrame, config: Config, average: bool, weight: str | None) -> Result:
     """rows: (side, obs, label, v, n_cells) standardised; wide: the normalised ones."""
-    n_rows = rows.count()
-    n_new = rows.where("side = 'new'").count()
-    n_pcs = min(config.n_pcs, n_rows, len(names))
-    k = config.n_neighbors if n_new >= config.n_neighbors + 1 else max(1, n_new - 1)
+    n_rows, n_new = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("side") == "new", 1))).first()
+    n_pcs = _given("n_pcs", config.n_pcs, min(config.n_pcs, n_rows, len(names)))
+    k = _given("n_neighbors", config.n_neighbors, config.n_neighbors if n_new >= config.n_neighbors + 1 else max(1, n_new - 1))
     scores, loadings, _ = knn.principal_components(rows, n_pcs, weight)
     if average:
         scores = scores.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("n_cells").cast("int"))))
     else:
         scores = scores.withColumn("replica", F.lit(1))
-    scores = scores.withColumn("id", F.row_number().over(Window.orderBy("side", "obs", "replica")).cast("long")).cache()
+    # Even numbers for the atlas, its replicas side by side, and odd ones for new rows; no order over all rows is needed.
+    most = rows.agg(F.max("n_cells")).first()[0] + 1 if average else 1
+    own = F.when(F.col("side") == "new", 2 * F.col("obs") + 1).otherwise(2 * (F.col("obs") * most + F.col("replica")))
+    scores = written(scores.withColumn("id", own.cast("long")), "scores")
     points = scores.select("id", "v", "label")
     if average:
         graph = knn.graph_average(points, k, config.n_neighbors_out_of_atlas, config.distance_metric, config.threshold_neighborhood)
     else:
         graph = knn.graph_subsample(points, k, config.distance_metric, config.threshold_neighborhood, config.n_neighbors_external, config.threshold_neighborhood_external, config.external_neighbors_mutual)
-    graph = graph.cache()
+    graph = written(graph, "graph")
     vertices = points.select("id", "label")
-    parts = community.pinned_communities(graph, vertices, config.clustering_metric, config.resolution, config.seed).cache()
+    parts = community.pinned_communities(graph, vertices, config.clustering_metric, config.resolution, config.seed)
+    parts = written(parts, "parts")
     named = community.annotations(parts, vertices).join(scores.where("side = 'new'").select("id", "obs"), "id").select("obs", "annotation", "novel")
     return Result(overlap, names, wide, scores, loadings, graph, parts, named, config, average, scores.where("side = 'new'").select("side", "obs"))
 
@@ -144,6 +160,8 @@ def annotate_average(average: DataFrame, new_expr: DataFrame, new_obs: DataFrame
     """average: (label, feature, mean, n_cells), one profile a label."""
     config = config or AverageConfig()
     config.check()
+    # Both are read several times and may be long joins themselves.
+    average, new_expr = written(average, "average"), written(new_expr.select("obs", "feature", "value"), "new")
     overlap = _overlap(average, new_expr)
     held = average.join(overlap, "feature", "left_semi")
     if config.n_cells_per_type is not None:
@@ -158,23 +176,27 @@ def annotate_average(average: DataFrame, new_expr: DataFrame, new_obs: DataFrame
     names = sorted(r[0] for r in features.select_features(overlap, *chosen, additional=list(config.features_additional)).collect())  # labels * markers + overdispersed at most
     if not names:
         raise ValueError("no features selected")
-    labels = sizes.withColumn("obs", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    chosen_names = overlap.sparkSession.createDataFrame([(x,) for x in names], "feature string")
+    known = sorted((r["label"], r["n_cells"]) for r in sizes.collect())  # a row a label
+    labels = overlap.sparkSession.createDataFrame([(x, n, i) for i, (x, n) in enumerate(known)], "label string, n_cells long, obs long")
     atlas = held.join(F.broadcast(labels), "label").select("obs", "feature", F.col("mean").alias("value"))
 
     def vectors(expr: DataFrame, obs: DataFrame) -> DataFrame:
-        used = expr.where(F.col("feature").isin(names))
+        used = expr.join(F.broadcast(chosen_names), "feature", "left_semi")
         return merge.dense(merge.normalise(used, 0.1) if config.normalize_counts else used, obs, names)
 
     rows = vectors(atlas, labels.select("obs", "label", "n_cells")).select(F.lit("atlas").alias("side"), "obs", "label", F.col("n_cells").cast("long").alias("n_cells"), "v")
     rows = rows.unionByName(vectors(new_expr, new_obs.select("obs")).select(F.lit("new").alias("side"), "obs", F.lit(None).cast("string").alias("label"), F.lit(1).cast("long").alias("n_cells"), "v"))
-    logged = rows.withColumn("v", F.transform("v", lambda x: F.log10(x + 0.1)))
-    ready = merge.standardise(logged, merge.moments(logged, "n_cells"))
+    rows = written(rows, "rows")
+    logged = merge.log_vectors(rows)
+    ready = written(merge.standardise(logged, merge.moments(logged, "n_cells")), "standardised")
     return _finish(ready, rows, names, overlap, config, True, "n_cells")
 
 
 def annotate_subsample(atlas_expr: DataFrame, atlas_obs: DataFrame, new_expr: DataFrame, new_obs: DataFrame, config: SubsampleConfig | None = None) -> Result:
     config = config or SubsampleConfig()
     config.check()
+    atlas_expr, new_expr = written(atlas_expr.select("obs", "feature", "value"), "atlas"), written(new_expr.select("obs", "feature", "value"), "new")
     overlap = _overlap(atlas_expr, new_expr)
     profile = features.profiles(atlas_expr, atlas_obs)
     shared = profile.join(overlap, "feature", "left_semi")
@@ -187,16 +209,17 @@ def annotate_subsample(atlas_expr: DataFrame, atlas_obs: DataFrame, new_expr: Da
     names = sorted(r[0] for r in features.select_features(overlap, *chosen, additional=list(config.features_additional)).collect())
     if not names:
         raise ValueError("no features selected")
+    chosen_names = overlap.sparkSession.createDataFrame([(x,) for x in names], "feature string")
 
     def vectors(expr: DataFrame, obs: DataFrame) -> DataFrame:
-        used = expr.where(F.col("feature").isin(names))
+        used = expr.join(F.broadcast(chosen_names), "feature", "left_semi")
         return merge.dense(merge.normalise(used, None) if config.normalize_counts else used, obs, names)
 
     rows = vectors(atlas_expr, atlas_obs.where("label is not null").select("obs", "label")).select(F.lit("atlas").alias("side"), "obs", "label", "v")
     rows = rows.unionByName(vectors(new_expr, new_obs.select("obs")).select(F.lit("new").alias("side"), "obs", F.lit(None).cast("string").alias("label"), "v"))
-    rows = rows.withColumn("n_cells", F.lit(1).cast("long"))
+    rows = written(rows.withColumn("n_cells", F.lit(1).cast("long")), "rows")
     logged = rows.withColumn("v", F.transform("v", lambda x: F.log1p(x) / F.log(F.lit(10.0))))
-    ready = merge.standardise(logged, merge.moments(logged))
+    ready = written(merge.standardise(logged, merge.moments(logged)), "standardised")
     return _finish(ready, rows, names, overlap, config, False, None)
 
 
