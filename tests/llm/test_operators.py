@@ -247,11 +247,14 @@ def test_near_dedup(docs, texts, empty, monkeypatch, few, block):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_licences(spark, sf_dir):
+def test_licences(spark, empty):
     text = "Foo bar. Permission is hereby granted"
     rows = [(0, "A. Released under the MIT License.\nLicensed under CC BY-NC 4.0. B"), (1, None), (2, ""), (3, text), (4, "All rights reserved. All  rights, reserved!"), (5, "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at")]
-    got = {r["doc_id"]: (r["licences"], r["n_unmatched"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: ("MIT,CC-BY-NC-4.0", 0), 1: ("", 0), 2: ("", 0), 3: ("", 0), 4: ("", 2), 5: ("Apache-2.0", 0)}
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, `a.b` string, flat int")
+    got = {r["doc_id"]: (r["licences"], r["n_known"], r["n_unmatched"]) for r in licences.licence_scan(docs).collect()}
+    assert got == {0: ("MIT,CC-BY-NC-4.0", 2, 0), 1: ("", 0, 0), 2: ("", 0, 0), 3: ("", 0, 0), 4: ("", 2, 2), 5: ("Apache-2.0", 3, 0)}
+    assert licences.licence_scan(empty).count() == 0
+    assert "Python" not in licences.licence_scan(docs)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_decontamination(spark, docs, texts, empty):
@@ -364,14 +367,68 @@ MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one."""
 
 
+ISC = """Copyright (c) 2021, A. Person <a@example.org>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+BSD2 = """Copyright (c) 2003, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
 def test_wrapped_licences(spark):
     mark = lambda t, c: "\n".join((c + line).rstrip() for line in t.split("\n"))
-    gpl, bsd = "GPL3-LATER,GPL-WARRANTY,GPL-DETAILS", "BSD-GRANT,BSD-ENDORSE"
-    cases = [(MIT, "MIT-NAME,MIT-GRANT,MIT-NOTICE,AS-IS", "MIT"), (GPL, gpl, "GPL-3.0-or-later"), (BSD, bsd, "BSD-3-Clause"), (MPL, "MPL2-NAME", "MPL-2.0")]
-    cases = [(form(t), ids, licence) for t, ids, licence in cases for form in (str, lambda t: mark(t, " * "), lambda t: mark(t, "# "), lambda t: t.replace("\n", "\r\n"))]
-    cases += [("Redistribution and use in source and binary forms, with or without\n\n" + BSD.split("\n", 1)[1], "BSD-ENDORSE", ""), ("Foo\nMIT License\nbar All rights reserved\nAll rights\nreserved", "MIT-NAME,RESERVED", "MIT")]
-    got = {r["doc_id"]: r for r in licences.licence_scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
-    assert [(got[i]["sentence_ids"], got[i]["licences"]) for i in range(len(cases))] == [c[1:] for c in cases]
+    forms = [str, lambda t: mark(t, " * "), lambda t: mark(t, "# "), lambda t: mark(t, "// "), lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split()), lambda t: "Some words before\n" + t.replace("\n\n", "\n")]
+    notices = {"MIT": MIT, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL.replace("version 3", "version 2"), "AGPL-3.0-or-later": GPL.replace("GNU General", "GNU Affero General"), "LGPL-2.1-or-later": LGPL, "BSD-3-Clause": BSD, "BSD-2-Clause": BSD2, "MPL-2.0": MPL, "ISC": ISC, "Apache-2.0": APACHE}
+    cases = [(form(t), name) for name, t in notices.items() for form in forms]
+    cases.append(("Redistribution and use in source and binary forms, with or without\n\nmodification", ""))
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
+
+
+def test_whole_licences(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}
+    names = {k: v for k, v in names.items() if (folder / k).exists()}
+    if not names:
+        pytest.skip("no licence texts on this machine")
+    forms = [str, lambda t: "\n".join(("# " + line).rstrip() for line in t.split("\n")), lambda t: " ".join(t.split())]
+    cases = [(form((folder / k).read_text()), v) for k, v in names.items() for form in forms]
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
 
 
 def test_one_long_text_leaves_the_fit_sample(spark):
