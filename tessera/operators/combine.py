@@ -56,6 +56,8 @@ def combine(tables: list[tuple[str, DataFrame]], join: str = "keep_first", kind:
     keep = common_features([t for _, t in tables], join)
     parts = []
     for name, table in tables:
+        if "obs" not in table.columns:  # averages, as ``average_landmark`` gives them
+            table = table.withColumn("obs", F.col("label"))
         named = table.withColumn("dataset", F.lit(name)).withColumn("obs", F.concat_ws("_", F.lit(name), F.col("obs").cast("string")))
         parts.append(named.withColumn("label", F.concat_ws("_", F.lit(name), "label")) if kind == "average" else named)
     return reduce(DataFrame.unionByName, parts).join(keep, "feature", "left_semi")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import discard, written
@@ -52,7 +52,17 @@ def partition_quality(edges: DataFrame, parts: DataFrame, metric: str = "cpm", r
     table = size.join(inner, "comm", "left").join(degree, "comm", "left").na.fill(0)
     m, n = F.sum("k").over(Window.partitionBy()) / 2, F.sum("n").over(Window.partitionBy())
     pairs = F.col("n") * (F.col("n") - 1) / 2
+    density = 2 * m / (n * (n - 1))
+
+    def divergence(q: Column, p: Column) -> Column:
+        return F.when(q > 0, q * F.log(q / p)).otherwise(0.0) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+
+    if metric == "surprise":
+        sums = table.agg(F.sum("e").alias("e"), (F.sum("k") / 2).alias("m"), F.sum(pairs).alias("pairs"), F.sum("n").alias("n"))
+        every = F.col("n") * (F.col("n") - 1) / 2
+        return sums.select(F.round(F.col("m") * divergence(F.col("e") / F.col("m"), F.col("pairs") / every), 6).alias("quality"))
     terms = {
+        "significance": F.when(pairs > 0, pairs * divergence(F.col("e") / F.when(pairs > 0, pairs), density)).otherwise(0.0),
         "cpm": F.col("e") - resolution * pairs,
         "modularity": F.col("e") - F.col("k") ** 2 / (4 * m),
         "rbc": F.col("e") - resolution * F.col("k") ** 2 / (4 * m),
@@ -356,6 +366,13 @@ def annotations(parts: DataFrame, vertices: DataFrame) -> DataFrame:
     return new.join(F.broadcast(known), "comm", "left").select("id", F.coalesce("known", F.col("comm").cast("string")).alias("annotation"), F.col("known").isNull().alias("novel"))
 
 
+def agreement(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(n, agree, share) of (obs, annotation) against (obs, label): observations that are in both."""
+    both = found.select("obs", "annotation").join(truth.where("label is not null").select("obs", "label"), "obs")
+    agree = F.count(F.when(F.col("annotation") == F.col("label").cast("string"), 1))
+    return both.agg(F.count(F.lit(1)).alias("n"), agree.alias("agree"), (agree / F.count(F.lit(1))).alias("share"))
+
+
 def closest_labels(centres: DataFrame, clusters: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(cluster, label, dist) of label centres (label, v) and cluster members (cluster, v): the label nearest to each mean."""
     mean = clusters.select("cluster", F.posexplode("v").alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("x"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -106,14 +106,38 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
 
 
+def from_matrix(spark: SparkSession, matrix, ids: list[int]) -> DataFrame:
+    """(src, dst) of a square adjacency matrix, dense or sparse (with ``tocoo``), whose rows and columns are ``ids``."""
+    if len(matrix.shape) != 2 or tuple(matrix.shape) != (len(ids), len(ids)):
+        raise ValueError(f"the graph has shape {tuple(matrix.shape)}, but there are {len(ids)} rows")
+    if hasattr(matrix, "tocoo"):
+        held = matrix.tocoo()
+        row, col = held.row[held.data != 0], held.col[held.data != 0]
+    else:
+        row, col = np.nonzero(np.asarray(matrix))
+    names = np.asarray(ids, np.int64)
+    return undirected(spark.createDataFrame(list(zip(names[row].tolist(), names[col].tolist(), strict=True)), "src long, dst long"))
+
+
+def replica_cliques(rows: DataFrame) -> DataFrame:
+    """(src, dst): every two rows of a label, the smaller id first."""
+    labelled = rows.where("label is not null")
+    a, b = (labelled.select("label", F.col("id").alias(x)) for x in ("src", "dst"))
+    return a.join(b, "label").where("src < dst").select("src", "dst")
+
+
+def out_of_atlas(rows: DataFrame, k: int, metric: str, threshold: float) -> DataFrame:
+    """(label, src, dst, dist, rank): the k new rows nearest to each label's first row."""
+    firsts = rows.where("label is not null").groupBy("label").agg(F.min_by(F.struct("id", "v"), "id").alias("f")).select("label", "f.id", "f.v")
+    return nearest(firsts, rows.where("label is null"), k, metric, threshold).join(firsts.select(F.col("id").alias("src"), "label"), "src")
+
+
 def graph_average(rows: DataFrame, k: int, k_out: int, metric: str, threshold: float) -> DataFrame:
     """Edges of (id, v, label): cliques of a label's replicas, k_out new rows for each label, k of all for new rows."""
     labelled, new = rows.where("label is not null"), rows.where("label is null")
-    firsts = labelled.groupBy("label").agg(F.min_by(F.struct("id", "v"), "id").alias("f")).select("label", "f.id", "f.v")
-    out = nearest(firsts, new, k_out, metric, threshold).join(firsts.select(F.col("id").alias("src"), "label"), "src")
-    out = out.join(labelled.select("label", F.col("id").alias("own")), "label").select(F.col("own").alias("src"), "dst")
-    own = labelled.select("label", F.col("id").alias("src")).join(labelled.select("label", F.col("id").alias("dst")), "label").where("src < dst").select("src", "dst")
-    return undirected(own.unionByName(out).unionByName(nearest(new, rows, k, metric, threshold).select("src", "dst")))
+    out = out_of_atlas(rows, k_out, metric, threshold).select("label", "dst")
+    out = out.join(labelled.select("label", F.col("id").alias("src")), "label").select("src", "dst")
+    return undirected(replica_cliques(rows).unionByName(out).unionByName(nearest(new, rows, k, metric, threshold).select("src", "dst")))
 
 
 def external_neighbours(rows: DataFrame, k: int, metric: str, threshold: float, mutual: bool = False) -> DataFrame:
@@ -134,13 +158,11 @@ def graph_subsample(rows: DataFrame, k: int, metric: str, threshold: float, k_ex
     return undirected(edges)
 
 
-def principal_components(rows: DataFrame, n: int, weight: str | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Scores of standardised vectors ``v`` on their n leading components, the loadings and the eigenvalues.
+def covariance(rows: DataFrame, weight: str | None = None) -> tuple[np.ndarray, int]:
+    """Covariance of the places of the vectors ``v``, by weight if one is named, and the number of rows.
 
-    The Gramian is added up by partitions; only its places-by-places sum comes to the driver.  Each component's
-    largest loading is positive.
+    The Gramian is added up by partitions; only its places-by-places sum comes to the driver.
     """
-    names = [c for c in rows.columns if c != "v"]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +183,20 @@ def principal_components(rows: DataFrame, n: int, weight: str | None = None) ->
         raise ValueError("no rows")
     width = len(np.frombuffer(parts[0]["s"]))
     mass, count = sum(p["w"] for p in parts), sum(p["n"] for p in parts)
-    if n > min(width, count):
-        raise ValueError(f"{n} components of {count} rows and {width} features")
     sums = sum(np.frombuffer(p["s"]) for p in parts)
     cov = (sum(np.frombuffer(p["g"]).reshape(width, width) for p in parts) - np.outer(sums, sums) / mass) / max(mass - 1, 1e-12)
+    return cov, count
+
+
+def principal_components(rows: DataFrame, n: int, weight: str | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Scores of standardised vectors ``v`` on their n leading components, the loadings and the eigenvalues.
+
+    Each component's largest loading is positive.
+    """
+    names = [c for c in rows.columns if c != "v"]
+    cov, count = covariance(rows, weight)
+    if n > min(len(cov), count):
+        raise ValueError(f"{n} components of {count} rows and {len(cov)} features")
     values, vectors = np.linalg.eigh(cov)
     values, vectors = values[::-1][:n], vectors[:, ::-1][:, :n]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(n)])

@@ -111,6 +111,12 @@ class Result:
         return self.matrix.join(new, ["side", "obs"], "left").select("side", "obs", F.coalesce("label", "annotation").alias("label"), "v")
 
 
+def _require(table: DataFrame, what: str, *columns: str) -> None:
+    missing = [c for c in columns if c not in table.columns]
+    if missing:
+        raise ValueError(f"{what} needs the columns {missing}")
+
+
 def _overlap(atlas: DataFrame, new: DataFrame) -> DataFrame:
     overlap = written(features.feature_overlap(atlas, new), "overlap")
     n = overlap.count()
@@ -132,6 +138,7 @@ def _given(name: str, asked: int, used: int) -> int:
 def _finish(rows: DataFrame, wide: DataFrame, names: list[str], overlap: DataFrame, config: Config, average: bool, weight: str | None) -> Result:
     """rows: (side, obs, label, v, n_cells) standardised; wide: the normalised ones."""
     n_rows, n_new = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("side") == "new", 1))).first()
+    log.info("%d rows, %d of them new, and %d features", n_rows, n_new, len(names))
     n_pcs = _given("n_pcs", config.n_pcs, min(config.n_pcs, n_rows, len(names)))
     k = _given("n_neighbors", config.n_neighbors, config.n_neighbors if n_new >= config.n_neighbors + 1 else max(1, n_new - 1))
     scores, loadings, _ = knn.principal_components(rows, n_pcs, weight)
@@ -160,6 +167,9 @@ def annotate_average(average: DataFrame, new_expr: DataFrame, new_obs: DataFrame
     """average: (label, feature, mean, n_cells), one profile a label."""
     config = config or AverageConfig()
     config.check()
+    _require(average, "average", "label", "feature", "mean", "n_cells")
+    _require(new_expr, "new_expr", "obs", "feature", "value")
+    _require(new_obs, "new_obs", "obs")
     # Both are read several times and may be long joins themselves.
     average, new_expr = written(average, "average"), written(new_expr.select("obs", "feature", "value"), "new")
     overlap = _overlap(average, new_expr)
@@ -196,6 +206,10 @@ def annotate_average(average: DataFrame, new_expr: DataFrame, new_obs: DataFrame
 def annotate_subsample(atlas_expr: DataFrame, atlas_obs: DataFrame, new_expr: DataFrame, new_obs: DataFrame, config: SubsampleConfig | None = None) -> Result:
     config = config or SubsampleConfig()
     config.check()
+    _require(atlas_expr, "atlas_expr", "obs", "feature", "value")
+    _require(atlas_obs, "atlas_obs", "obs", "label")
+    _require(new_expr, "new_expr", "obs", "feature", "value")
+    _require(new_obs, "new_obs", "obs")
     atlas_expr, new_expr = written(atlas_expr.select("obs", "feature", "value"), "atlas"), written(new_expr.select("obs", "feature", "value"), "new")
     overlap = _overlap(atlas_expr, new_expr)
     profile = features.profiles(atlas_expr, atlas_obs)

@@ -38,6 +38,7 @@ class Tables:
         self.expr_b = second.groupBy(F.col("l_suppkey").alias("obs"), "feature").agg(F.sum("l_quantity").alias("value"))
         nation = t("nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("label"))
         self.obs_b = t("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("obs"), "label")
+        self.truth = t("embeddings").select(F.col("vec_id").alias("obs"), F.col("label").cast("string").alias("label"))
         self.vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.when(F.col("vec_id") % 4 == 0, F.col("label").cast("string")).alias("label"))
 
 
@@ -54,7 +55,7 @@ def _long(name: str):
 
 
 def _two_atlases(t: Tables) -> list[tuple[str, DataFrame]]:
-    return [(name, C.average_landmark(e, o).withColumn("obs", F.col("label"))) for name, e, o in (("cust", t.atlas, t.obs), ("supp", t.expr_b, t.obs_b))]
+    return [(name, C.average_landmark(e, o)) for name, e, o in (("cust", t.atlas, t.obs), ("supp", t.expr_b, t.obs_b))]
 
 
 def _combined(join: str) -> Query:
@@ -102,10 +103,36 @@ def _pca(t: Tables) -> DataFrame:
     return scores.select("obs", *[F.round(F.col("v")[i], 6).alias(f"pc_{i + 1}") for i in range(4)])
 
 
-def _closest(t: Tables) -> DataFrame:
+def _closest(t: Tables, metric: str = "euclidean") -> DataFrame:
     centres = t.vectors.where("id < 6").select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("label"), "v")
     clusters = t.vectors.where("id >= 6").select((F.col("id") % 9).cast("string").alias("cluster"), "v")
-    return K.closest_labels(centres, clusters).select("cluster", "label", _r("dist"))
+    return K.closest_labels(centres, clusters, metric).select("cluster", "label", _r("dist"))
+
+
+def _covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cov, _ = N.covariance(Tables(spark, sf_dir).vectors.withColumn("w", F.col("id") % 5 + 1), "w")
+    rows = [(i, j, round(float(cov[i, j]), 6)) for i in range(len(cov)) for j in range(i, len(cov))]  # places by places
+    return spark.createDataFrame(rows, "a long, b long, cov double")
+
+
+def _pca_distances(weight: str | None) -> Query:
+    """Squared distances of some rows in all components, which are those of the vectors themselves."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Tables(spark, sf_dir)
+        rows = t.vectors.withColumn("w", F.col("id") % 5 + 1).select("id", "w", "v")
+        scores, loadings, _ = N.principal_components(rows, len(rows.first()["v"]), weight)
+        x = scores.where("id < 8").select(F.col("id").alias("src"), F.col("v").alias("x"))
+        y = scores.select(F.col("id").alias("dst"), F.col("v").alias("y"))
+        d = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
+        return x.join(F.broadcast(x.select("src")), "src").crossJoin(y).where("src <> dst").select("src", "dst", F.round(d, 5).alias("dist"))
+
+    return run
+
+
+def _agreement(t: Tables) -> DataFrame:
+    found = N.external_neighbours(t.vectors, 1, "correlation", 0.9).join(t.vectors.select(F.col("id").alias("dst"), "label"), "dst")
+    return K.agreement(found.select(F.col("src").alias("obs"), F.col("label").alias("annotation")), t.truth).select("n", "agree", _r("share"))
 
 
 PAIRS = 0.4
@@ -136,14 +163,22 @@ QUERIES: dict[str, Query] = {
     "replicate_by_size": _query(lambda t: M.replicate(C.label_counts(t.obs).withColumn("n_cells", F.col("n_cells") % 7 + 1)).select("label", _long("replica"), "name")),
     "replicate_by_real_size": _query(lambda t: M.replicate(C.label_counts(t.obs)).select("label", _long("replica"), "name")),
     "pca_unweighted": _query(_pca),
-    "knn_out_of_atlas": _query(lambda t: N.external_neighbours(t.vectors, 5, "correlation", 0.9).select("src", "dst", _r("dist"), _long("rank"))),
+    "pca_distances": _pca_distances(None),
+    "pca_weighted_distances": _pca_distances("w"),
+    "weighted_covariance": _covariance,
+    "combine_prefixed_names": _query(lambda t: C.combine(_two_atlases(t), "union").select("obs", "dataset").distinct()),
+    "replica_clique": _query(lambda t: N.replica_cliques(t.vectors)),
+    "label_agreement": _query(_agreement),
+    "closest_subsample": _query(lambda t: _closest(t, "correlation")),
+    "knn_out_of_atlas": _query(lambda t: N.out_of_atlas(t.vectors, 3, "correlation", 0.9).select("label", "src", "dst", _r("dist"), _long("rank"))),
+    "knn_external": _query(lambda t: N.external_neighbours(t.vectors, 5, "correlation", 0.9).select("src", "dst", _r("dist"), _long("rank"))),
     "knn_external_mutual": _query(lambda t: N.external_neighbours(t.vectors, 5, "correlation", 0.9, True).select("src", "dst", _r("dist"), _long("rank"))),
     "graph_average": _query(lambda t: N.graph_average(t.vectors, 5, 3, "correlation", 0.9)),
     "graph_subsample": _query(lambda t: N.graph_subsample(t.vectors, 5, "correlation", 0.9, 3, 0.9)),
     "external_graph_edges": _query(_ring),
     "initial_partition": _query(lambda t: K.initial_partition(t.vectors.select("id", "label"))),
-    **{f"partition_quality_{m}": _query(lambda t, m=m: K.partition_quality(_ring_all(t), _fixed_parts(t), m, 0.01)) for m in ("cpm", "modularity", "rbc", "rber")},
-    **{f"knn_{m}": _knn(m) for m in ("correlation", "cosine", "euclidean", "sqeuclidean", "cityblock", "chebyshev", "canberra", "braycurtis")},
+    **{f"partition_quality_{m}": _query(lambda t, m=m: K.partition_quality(_ring_all(t), _fixed_parts(t), m, 0.01)) for m in K.METRICS},
+    **{f"knn_{m}": _knn(m) for m in ("correlation", "cosine", "euclidean", "sqeuclidean", "cityblock", "chebyshev", "canberra", "braycurtis", "minkowski")},
     **{f"pinned_clusters_{m}": _query(lambda t, m=m: K.pinned_communities(_ring_all(t), t.vectors.select("id", "label"), m, 0.05)) for m in K.METRICS},
     "closest_label": _query(_closest),
     "annotate_average": _query(lambda t: _average_fit(t).annotation),
@@ -189,6 +224,7 @@ DIST = {
     "correlation": "1 - list_dot_product(list_transform(x.v, lambda t: t - list_avg(x.v)), list_transform(y.v, lambda t: t - list_avg(y.v))) / sqrt(list_sum(list_transform(x.v, lambda t: (t - list_avg(x.v)) ** 2)) * list_sum(list_transform(y.v, lambda t: (t - list_avg(y.v)) ** 2)))",
     "cosine": "1 - list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v))",
     "euclidean": f"sqrt(list_sum(list_transform({_DIFF}, lambda d: d * d)))",
+    "minkowski": f"sqrt(list_sum(list_transform({_DIFF}, lambda d: d * d)))",
     "sqeuclidean": f"list_sum(list_transform({_DIFF}, lambda d: d * d))",
     "cityblock": f"list_sum({_DIFF})",
     "chebyshev": f"list_max({_DIFF})",
@@ -240,7 +276,17 @@ SQL: dict[str, str] = {
     "standardise": "SELECT id, pos, round(CASE WHEN sd < 1e-12 THEN 0 ELSE (x - mean) / sd END, 6) AS x FROM (SELECT id, pos, x, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v) WINDOW w AS (PARTITION BY pos))",
     "replicate_by_size": "SELECT label, replica, label || '_' || replica AS name FROM (SELECT label, unnest(range(1, n_cells % 7 + 2)) AS replica FROM cnt)",
     "replicate_by_real_size": "SELECT label, replica, label || '_' || replica AS name FROM (SELECT label, unnest(range(1, n_cells + 1)) AS replica FROM cnt)",
-    "knn_out_of_atlas": "," + _near("correlation", _EXT, 0.9) + _KN,
+    "knn_external": "," + _near("correlation", _EXT, 0.9) + _KN,
+    "knn_out_of_atlas": ", f AS (SELECT label, min(id) AS src FROM v WHERE label IS NOT NULL GROUP BY 1), "
+    + _near("correlation", "x.id IN (SELECT src FROM f) AND y.label IS NULL", 0.9, 3, "ko")
+    + " SELECT label, src, dst, round(dist, 6) AS dist, rank FROM ko JOIN f USING (src)",
+    "replica_clique": "SELECT x.id AS src, y.id AS dst FROM v x JOIN v y ON x.label = y.label AND x.id < y.id",
+    "combine_prefixed_names": "SELECT DISTINCT label AS obs, dataset FROM both_atlases",
+    "weighted_covariance": ", u AS (SELECT id, (id % 5 + 1)::DOUBLE AS w, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v) "
+    "SELECT p.pos AS a, q.pos AS b, round((sum(p.w * p.x * q.x) - sum(p.w * p.x) * sum(p.w * q.x) / sum(p.w)) / (sum(p.w) - 1), 6) AS cov FROM u p JOIN u q ON p.id = q.id AND p.pos <= q.pos GROUP BY 1, 2",
+    **{name: f"SELECT x.id AS src, y.id AS dst, round({DIST['sqeuclidean']}, 5) AS dist FROM v x JOIN v y ON x.id < 8 AND x.id <> y.id" for name in ("pca_distances", "pca_weighted_distances")},
+    "label_agreement": "," + _near("correlation", _EXT, 0.9, 1) + ", b AS (SELECT y.label AS annotation, e.label::VARCHAR AS label FROM kn JOIN v y ON y.id = kn.dst JOIN embeddings e ON e.vec_id = kn.src WHERE e.label IS NOT NULL) "
+    "SELECT count(*) AS n, count(*) FILTER (annotation = label) AS agree, round(count(*) FILTER (annotation = label) / count(*), 6) AS share FROM b",
     "knn_external_mutual": "," + _near("correlation", _EXT, 0.9) + "," + _near("correlation", _BACK, 0.9, 5, "kb") + _KN + " WHERE EXISTS (SELECT 1 FROM kb WHERE kb.src = kn.dst AND kb.dst = kn.src)",
     "graph_average": _GA,
     "graph_subsample": "," + _near("correlation", "true", 0.9) + "," + _near("correlation", _EXT, 0.9, 3, "kx") + _EDGES.format("SELECT src, dst FROM kn UNION ALL SELECT src, dst FROM kx"),
@@ -250,10 +296,17 @@ SQL: dict[str, str] = {
     "partition_quality_modularity": "SELECT round(sum(e - k * k / (4 * m)), 6) AS quality FROM q",
     "partition_quality_rbc": "SELECT round(sum(e - 0.01 * k * k / (4 * m)), 6) AS quality FROM q",
     "partition_quality_rber": "SELECT round(sum(e - 0.01 * (2 * m / (nodes * (nodes - 1))) * n * (n - 1) / 2), 6) AS quality FROM q",
-    "closest_label": ", c AS (SELECT cluster, list(x ORDER BY pos) AS v FROM (SELECT (id % 9)::VARCHAR AS cluster, pos, avg(x) AS x FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v WHERE id >= 6) GROUP BY 1, 2) GROUP BY 1), "
-    f"d AS (SELECT x.cluster, 'L' || y.id AS label, round({DIST['euclidean']}, 9) AS dist FROM c x, (SELECT * FROM v WHERE id < 6) y) "
-    "SELECT cluster, label, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, label) AS r FROM d) WHERE r = 1",
+    **{
+        name: ", c AS (SELECT cluster, list(x ORDER BY pos) AS v FROM (SELECT (id % 9)::VARCHAR AS cluster, pos, avg(x) AS x FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v WHERE id >= 6) GROUP BY 1, 2) GROUP BY 1), "
+        f"d AS (SELECT x.cluster, 'L' || y.id AS label, round({DIST[metric]}, 9) AS dist FROM c x, (SELECT * FROM v WHERE id < 6) y) "
+        "SELECT cluster, label, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist, label) AS r FROM d) WHERE r = 1"
+        for name, metric in (("closest_label", "euclidean"), ("closest_subsample", "correlation"))
+    },
     **{f"knn_{m}": "," + _near(m) + _KN for m in DIST},
+    "partition_quality_significance": ", d AS (SELECT e, n * (n - 1) / 2 AS pairs, 2 * m / (nodes * (nodes - 1)) AS p FROM q) SELECT round(sum(CASE WHEN pairs = 0 THEN 0 ELSE pairs * "
+    "(CASE WHEN e > 0 THEN e / pairs * ln(e / pairs / p) ELSE 0 END + CASE WHEN e < pairs THEN (1 - e / pairs) * ln((1 - e / pairs) / (1 - p)) ELSE 0 END) END), 6) AS quality FROM d",
+    "partition_quality_surprise": ", d AS (SELECT sum(e) / any_value(m) AS s, sum(n * (n - 1) / 2) / any_value(nodes * (nodes - 1) / 2) AS p, any_value(m) AS m FROM q) "
+    "SELECT round(m * (CASE WHEN s > 0 THEN s * ln(s / p) ELSE 0 END + CASE WHEN s < 1 THEN (1 - s) * ln((1 - s) / (1 - p)) ELSE 0 END), 6) AS quality FROM d",
 }
 
 
@@ -262,4 +315,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: PRE + sql for name, sql in SQL.items()}
+    found = {name: PRE + sql for name, sql in SQL.items()}
+    for part in ("expr", "sums", "prof", "mk", "mom"):  # each is read several times here
+        found["selected_features"] = found["selected_features"].replace(f"{part} AS (", f"{part} AS MATERIALIZED (", 1)
+    return found

@@ -59,3 +59,9 @@ def from_wide(wide: DataFrame, feature_col: str) -> DataFrame:
     names = [c for c in wide.columns if c != feature_col]
     pairs = F.array(*[F.struct(F.lit(i).cast("long").alias("obs"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(names)])
     return wide.select(F.col(feature_col).alias("feature"), F.explode(pairs).alias("p")).select("p.obs", "feature", "p.value").where("value <> 0")
+
+
+def wide_names(wide: DataFrame, feature_col: str) -> DataFrame:
+    """(obs, name): the column that each observation of ``from_wide`` was."""
+    names = [c for c in wide.columns if c != feature_col]
+    return wide.sparkSession.createDataFrame(list(enumerate(names)), "obs long, name string")
