@@ -66,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier, the hashed orders and the sketches have no SQL form; the tests hold run() against plain code.
+#: The classifier, the hashed orders and the sketches have no SQL form; the tests hold each stage against plain code.
 ORACLE_SQL = None
