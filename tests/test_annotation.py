@@ -123,3 +123,72 @@ def test_arguments():
         A.SubsampleConfig(distance_metric="jaccard").check()
     with pytest.raises(ValueError):
         S.select_features(None)
+
+
+def _planted(n, groups, seed):
+    rng = np.random.default_rng(seed)
+    own = rng.integers(0, groups, n)
+    src = rng.integers(0, n, n * 8)
+    dst = np.array([rng.choice(np.flatnonzero(own == own[s])) if rng.random() < 0.8 else rng.integers(0, n) for s in src])
+    pairs = np.unique(np.sort(np.stack((src, dst), 1)[src != dst], axis=1), axis=0)
+    return own, pairs[:, 0], pairs[:, 1]
+
+
+@pytest.mark.parametrize("metric", K.METRICS)
+def test_communities_are_pinned_connected_and_no_worse_than_planted(metric):
+    own, src, dst = _planted(240, 6, 1)
+    ids = np.arange(240) * 5 + 2
+    labels = np.array([f"L{g}" if g < 3 and i % 4 == 0 else None for i, g in enumerate(own)], object)
+    resolution = 0.05 if metric == "cpm" else 1.0
+    comm = K.detect(ids, labels, ids[src], ids[dst], metric, resolution, 0)
+    assert all(comm[i] == int(x[1]) for i, x in enumerate(labels) if x is not None)
+
+    def quality(c):
+        c = np.unique(c, return_inverse=True)[1]
+        k = c.max() + 1
+        e, n = np.bincount(c[src][c[src] == c[dst]], minlength=k).astype(float), np.bincount(c, minlength=k).astype(float)
+        d = np.bincount(np.concatenate((c[src], c[dst])), minlength=k).astype(float)
+        state = K._State(metric, resolution, len(src), len(c))
+        return state.surprise(e.sum(), (n * (n - 1) / 2).sum()) if metric == "surprise" else sum(state.term(*x) for x in zip(e, n, d))
+
+    assert quality(comm) >= quality(own) - 1e-9
+    for c in set(comm.tolist()) - {0, 1, 2}:
+        members = set(np.flatnonzero(comm == c).tolist())
+        reached, todo = set(), [min(members)]
+        while todo:
+            v = todo.pop()
+            if v not in reached:
+                reached.add(v)
+                todo += [u for a, b in zip(src, dst) for u in ((b,) if a == v else (a,) if b == v else ()) if u in members]
+        assert reached == members
+
+
+def test_communities_by_component(spark, monkeypatch):
+    edges = [(a, b) for base in (0, 10, 20) for a in range(base, base + 5) for b in range(a + 1, base + 5)]
+    vertices = [(i, "A" if i == 0 else "B" if i == 11 else None) for base in (0, 10, 20) for i in range(base, base + 5)] + [(99, None)]
+    e, v = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(vertices, "id long, label string")
+    want = {i: 0 if i < 10 else 1 if i < 20 else 2 if i < 99 else 3 for i, _ in vertices}
+    for most in (10**6, 0):
+        monkeypatch.setattr(K, "ONE_TASK", most)
+        assert {r["id"]: r["comm"] for r in K.pinned_communities(e, v, "cpm", 0.1).collect()} == want
+
+
+def test_matrix_graphs(spark):
+    m = np.array([[0, 1, 0], [1, 2, 0], [0.5, 0, 0]])
+    assert sorted(map(tuple, N.from_matrix(spark, m, [7, 3, 9]).collect())) == [(3, 7), (7, 9)]
+    with pytest.raises(ValueError, match="shape"):
+        N.from_matrix(spark, m[:2], [7, 3, 9])
+
+
+def test_columns_are_checked_and_changes_are_told(spark):
+    expr = spark.createDataFrame([(0, "f", 1.0)], "obs long, feature string, value double")
+    with pytest.raises(ValueError, match="n_cells"):
+        A.annotate_average(expr.withColumnRenamed("obs", "label"), expr, expr.select("obs"))
+    with pytest.warns(UserWarning, match="n_pcs is 20"):
+        assert A._given("n_pcs", 20, 3) == 3
+
+
+def test_names_of_wide_columns(spark):
+    wide = spark.createDataFrame([("f", 1.0, 0.0)], "feature string, `a.b` double, c double")
+    assert [tuple(r) for r in L.wide_names(wide, "feature").orderBy("obs").collect()] == [(0, "a.b"), (1, "c")]
+    assert [tuple(r) for r in L.from_wide(wide, "feature").collect()] == [(0, "f", 1.0)]
