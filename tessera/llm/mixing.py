@@ -29,7 +29,8 @@ WEIGHTS = (5, 2, 1)
 #: The golden ratio's fraction as a multiple of 2**-31 (odd): frac(t * phi) is then exact in integers.
 PHI = 1327217885
 POINTS = 1 << 31
-BUCKETS = 1024
+#: Documents of a bucket of the hashed order, at most about; there are 1024 buckets at least.
+BUCKET_ROWS = 1 << 14
 CHUNK = 1 << 16
 #: Up to so many sources (rows of a few numbers) are sent to every task.
 FEW = 10_000
@@ -106,10 +107,12 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
 
 def placed(sizes: DataFrame) -> DataFrame:
     """(row, source, size, begin): documents with their place in their source's hashed order."""
-    keyed = sizes.where("size > 0").withColumn("h", F.xxhash64("doc_id", "row")).withColumn("bucket", F.shiftrightunsigned("h", 64 - int(math.log2(BUCKETS))))
+    # By what a row says, not by where it stands, so reruns agree; equal rows may change places.
+    bits = max(10, (sizes.count() // BUCKET_ROWS).bit_length())
+    keyed = sizes.where("size > 0").withColumn("h", F.xxhash64("doc_id", "size")).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = totals.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
-    inner = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "row")) - F.col("size")
+    inner = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "row")) - F.col("size")
     both = keyed.withColumn("inner", inner).alias("k").join(before.alias("b"), F.col("k.source").eqNullSafe(F.col("b.source")) & (F.col("k.bucket") == F.col("b.bucket")))
     return both.select("row", "k.source", "size", (F.col("inner") + F.col("before")).alias("begin"))
 
