@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +31,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return storage.written(df, name)
 
 
+#: Bits of a file's hash and of a row's place in its file, together the key of a row.
+FILE_BITS, PLACE_BITS = 33, 30
+
+
+def _file_key(docs: DataFrame) -> Column | None:
+    """A key of each row from its file and its place in it, if ``docs`` does no more than select from files.
+
+    The seed is such that no two files have one hash; None where there is no such key.
+    """
+    if "_metadata" in docs.columns:
+        return None
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return None
+    while plan.nodeName() != "LogicalRelation":
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias") or plan.children().size() != 1:
+            return None
+        plan = plan.children().head()
+    try:
+        files = docs.groupBy("_metadata.file_path").agg(F.max("_metadata.row_index").alias("most")).collect()  # reads no column; the driver lists the files anyway
+    except (AnalysisException, PySparkException):  # no such place in this format
+        return None
+    if any(r["most"] >= 1 << PLACE_BITS for r in files):
+        return None
+    names = docs.sparkSession.createDataFrame([(r["file_path"],) for r in files], "p string")
+    for seed in range(4):
+        number = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), c), 64 - FILE_BITS)  # noqa: B023, E731
+        if not files or names.select(F.count_distinct(number(F.col("p")))).first()[0] == len(files):
+            return F.shiftleft(number(F.col("_metadata.file_path")), PLACE_BITS).bitwiseOR(F.col("_metadata.row_index"))
+    return None
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
-    """(_row, doc_id, text [, _rest]), written once: _row tells even repeated rows apart.
+    """(_row, doc_id, text [, _rest]): _row tells even repeated rows apart, and is the same in every job.
 
-    The numbers are made in the one job that writes them, so they stay the same for all jobs that read them,
-    whatever partitions those see.  ``rest`` adds the struct of the other columns for ``original``.
+    It is the file and the place in it where ``docs`` selects from files; any other input is numbered and written
+    once, so its numbers don't change with the partitions that a job sees.  ``rest`` adds the struct of the other
+    columns for ``original``.
     """
-    columns = [
-        F.monotonically_increasing_id().alias(ROW),
-        quoted(docs, id_col).cast("long").alias("doc_id"),
-        quoted(docs, text_col).cast("string").alias("text"),
-    ]
+    columns = [quoted(docs, id_col).cast("long").alias("doc_id"), quoted(docs, text_col).cast("string").alias("text")]
     if rest:
         columns.append(F.struct(F.lit(True).alias("_"), *[quoted(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns) if not _is_text(docs, c, text_col)]).alias(REST))
-    return written(docs.select(*columns), "rows")
+    small_batches(docs.sparkSession)
+    key = _file_key(docs)
+    if key is not None:
+        return docs.select(key.alias(ROW), *columns)
+    return written(docs.select(F.monotonically_increasing_id().alias(ROW), *columns), "rows")
 
 
 def _is_text(docs: DataFrame, name: str, text_col: str) -> bool:
