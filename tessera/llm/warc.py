@@ -197,7 +197,13 @@ class _Buffered:
             self.place += n
             self.file.seek(self.place)
             return self.place <= self.size
-        return self.take(n) is not None
+        while n:  # a packed record is inflated in pieces, none of which is kept
+            more = self.file.read(min(n, 1 << 16))
+            if not more:
+                return False
+            self.place += len(more)
+            n -= len(more)
+        return True
 
 
 def _headers(source: _Buffered) -> dict[str, str]:
