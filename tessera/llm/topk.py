@@ -13,6 +13,7 @@ Scores are integer inner products.  Where the components are small enough they c
 which are then exact, otherwise from int64 ones.  Vectors that are null or have null or non-finite components
 take no part; vectors of another length than the query's don't match it.  Rows with a null id take no part.
 Repeated ids are rows of their own: each is a candidate for the others.  Empty tables give empty results.
+A score of 2**62 or more, or its negative, is an OverflowError instead of a long that has wrapped around.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._store import quoted, written
+from tessera.llm._store import new_folder, quoted, written
 
 QUERY_BLOCK = 2048
 BINS = 256
 ROWS_AT_ONCE = 2048
+WINNERS = "query_id long, query long, vec_id long, score long"
 
 
 def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -45,11 +47,13 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
             yield keys[some], ids[some], flat[ends[some][:, None] + np.arange(width)]
 
 
-def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products as int64."""
+def products(queries: np.ndarray, rows: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Inner products as int64; those of pairs outside ``use`` may be anything."""
     most = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(rows.astype(float)).max(initial=0)) * max(1, queries.shape[1])
     if most < 2**53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+    if most >= 2**62 and (np.abs(queries.astype(float) @ rows.astype(float).T)[use] >= 2**62).any():
+        raise OverflowError("the inner product of two vectors doesn't fit the range of scores, 2**62")
     return queries @ rows.T
 
 
@@ -70,9 +74,10 @@ def _histogram_rows(sent, k: int):
             for keys, _, matrix in _vectors(batch):
                 if matrix.shape[1] != q.vectors.shape[1]:
                     continue
-                scores = products(q.vectors, matrix)
+                others = q.keys[:, None] != keys[None, :]
+                scores = products(q.vectors, matrix, others)
                 bins = np.minimum((scores - q.low[:, None]) // q.width[:, None], BINS - 1)
-                use = (bins >= 0) & (q.keys[:, None] != keys[None, :])
+                use = (bins >= 0) & others
                 row, col = np.nonzero(use)
                 counts += np.bincount(row * BINS + bins[row, col], minlength=counts.size).reshape(counts.shape)
         reach = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # scores in this bin or above
@@ -92,8 +97,9 @@ def _winner_rows(sent, k: int):
             for keys, ids, matrix in _vectors(batch):
                 if matrix.shape[1] != q.vectors.shape[1]:
                     continue
-                scores = products(q.vectors, matrix)
-                use = (scores >= q.low[:, None]) & (q.keys[:, None] != keys[None, :])
+                others = q.keys[:, None] != keys[None, :]
+                scores = products(q.vectors, matrix, others)
+                use = (scores >= q.low[:, None]) & others
                 for i in np.flatnonzero(use.any(axis=1)).tolist():
                     s, d = np.concatenate((held[i][0], scores[i, use[i]])), np.concatenate((held[i][1], ids[use[i]]))
                     if len(s) > k:
@@ -119,12 +125,11 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_
         "vectors",
     )
     spark = rows.sparkSession
-    empty = spark.createDataFrame([], "query_id long, query long, vec_id long, score long")
-    found = None
+    found = new_folder(spark, "winners")  # of all blocks, so the plan is as small for many blocks as for one
+    spark.createDataFrame([], WINNERS).write.parquet(found)
     for block in _query_blocks(prepared.where("asks").select("row", "id", "v")):
-        winners = _block_winners(prepared.select("row", "id", "v"), block, k)
-        found = winners if found is None else found.unionByName(winners)
-    ranked = (found if found is not None else empty).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+        _write_winners(prepared.select("row", "id", "v"), block, k, found)
+    ranked = spark.read.schema(WINNERS).parquet(found).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -147,7 +152,8 @@ def _query_block(rows: list) -> Queries:
     return Queries(np.array([r["row"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64), vectors, np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64))
 
 
-def _block_winners(rows: DataFrame, q: Queries, k: int) -> DataFrame:
+def _write_winners(rows: DataFrame, q: Queries, k: int, path: str) -> None:
+    """Adds the best rows of the block's queries to the files below ``path``."""
     context = rows.sparkSession.sparkContext
     width = q.vectors.shape[1]
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x).cast("double"))
@@ -162,6 +168,7 @@ def _block_winners(rows: DataFrame, q: Queries, k: int) -> DataFrame:
         counts = np.zeros((len(q.keys), BINS), np.int64)
         for row in found.toLocalIterator():  # at most BINS numbers a query of the block
             counts[row["query"], row["bin"]] = row["n"]
+        sent.destroy()
         reach = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
         inside = (reach >= k).sum(axis=1) - 1  # the highest bin with k scores in it or above; -1: fewer than k rows
         done = q.width == 1
@@ -171,7 +178,9 @@ def _block_winners(rows: DataFrame, q: Queries, k: int) -> DataFrame:
             break
         # The bin becomes the interval; what is above it still counts, in the last bin.
         q.width = np.where(short | done, q.width, np.maximum(-(-q.width // (BINS - 1)), 1))
-    return rows.mapInArrow(_winner_rows(context.broadcast(q), k), "query_id long, query long, vec_id long, score long")
+    sent = context.broadcast(q)
+    rows.mapInArrow(_winner_rows(sent, k), WINNERS).write.mode("append").parquet(path)
+    sent.destroy()
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
