@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera import storage
 from tessera.storage import discard, new_folder
 
-__all__ = ["REST", "ROW", "discard", "keyed", "new_folder", "original", "quoted", "small_batches", "written"]
+__all__ = ["REST", "ROW", "discard", "file_key", "keyed", "new_folder", "original", "quoted", "small_batches", "written"]
 ROW = "_row"
 REST = "_rest"
 #: Most rows and bytes of an Arrow batch.
@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 FILE_BITS, PLACE_BITS = 33, 30
 
 
-def _file_key(docs: DataFrame) -> Column | None:
+def file_key(docs: DataFrame) -> Column | None:
     """A key of each row from its file and its place in it, if ``docs`` does no more than select from files.
 
     The seed is such that no two files have one hash; None where there is no such key.
@@ -74,7 +74,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> Da
     if rest:
         columns.append(F.struct(F.lit(True).alias("_"), *[quoted(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns) if not _is_text(docs, c, text_col)]).alias(REST))
     small_batches(docs.sparkSession)
-    key = _file_key(docs)
+    key = file_key(docs)
     if key is not None:
         return docs.select(key.alias(ROW), *columns)
     return written(docs.select(F.monotonically_increasing_id().alias(ROW), *columns), "rows")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from tessera.llm._store import new_folder, quoted
+from tessera.llm._store import file_key, new_folder, quoted, written
 
 SCHEMA = "record_id string, record_type string, date string, target_uri string, payload_digest string, refers_to string, content_length long, payload_bytes long, payload binary"
 #: Column to WARC header, for those that come straight from one.
@@ -292,7 +292,10 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page
     """Writes one record a page below ``path``; compression is gzip or none."""
     spark = pages.sparkSession
     html = F.coalesce(quoted(pages, html_col).cast("string"), F.lit("")).cast("binary")
-    base = pages.select(F.monotonically_increasing_id().alias("row"), quoted(pages, id_col).cast("long").alias("id"), quoted(pages, url_col).cast("string").alias("url"), html.alias("payload"))
+    key = file_key(pages)
+    base = pages.select((F.monotonically_increasing_id() if key is None else key).alias("row"), quoted(pages, id_col).cast("long").alias("id"), quoted(pages, url_col).cast("string").alias("url"), html.alias("payload"))
+    if key is None:  # numbers that must be the same in each of the scans below
+        base = written(base, "pages")
     narrow = base.select("row", "id", F.sha1("payload").alias("digest"), F.length("payload").alias("n"))
     # One row a payload, made before the shuffle where it can be; only payloads that repeat are joined back.
     first = narrow.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")

@@ -139,6 +139,21 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), table["vec_id"] % 100 == 0).count() == 0
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, rng.normal(size=3 + i % 2).tolist()) for i in range(120)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, topk.top_k(table, table["vec_id"] % 5 == 0, 4).collect()))
+    assert len(whole) == 24 * 4
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    assert sorted(map(tuple, topk.top_k(table, table["vec_id"] % 5 == 0, 4).collect())) == whole
+
+
+def test_top_k_refuses_scores_that_wrap_around(spark):
+    table = spark.createDataFrame([(0, [1e9] * 8), (1, [1e9] * 8)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="range of scores"):
+        topk.top_k(table, table["vec_id"] == 0)
+
+
 def test_mixing(docs, texts, empty):
     rows = mixing.mix(docs, block_words=16).collect()
     again = mixing.mix(docs, block_words=16).collect()
@@ -196,6 +211,10 @@ def test_warc(spark, tmp_path, compression):
             assert bytes(r["payload"]) == data
     only = warc.read_warc(spark, path).where("record_type = 'revisit'")
     assert only.count() == 3 and only.where("payload is not null").count() == 0
+    stored = f"file://{tmp_path}/pages"
+    pages.write.parquet(stored)
+    warc.archive(spark.read.parquet(stored), f"file://{tmp_path}/v", compression=compression)
+    assert sorted(map(tuple, warc.read_warc(spark, f"file://{tmp_path}/v", payload=True).collect())) == sorted(map(tuple, got.values()))
     warc.archive(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
