@@ -116,16 +116,16 @@ def _covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pca_distances(weight: str | None) -> Query:
-    """Squared distances of some rows in all components, which are those of the vectors themselves."""
+    """Squared distance of each row to the row of the next id in all components, which is that of the vectors themselves."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = Tables(spark, sf_dir)
         rows = t.vectors.withColumn("w", F.col("id") % 5 + 1).select("id", "w", "v")
         scores, loadings, _ = N.principal_components(rows, len(rows.first()["v"]), weight)
-        x = scores.where("id < 8").select(F.col("id").alias("src"), F.col("v").alias("x"))
+        x = scores.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.col("v").alias("x"))
         y = scores.select(F.col("id").alias("dst"), F.col("v").alias("y"))
         d = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
-        return x.join(F.broadcast(x.select("src")), "src").crossJoin(y).where("src <> dst").select("src", "dst", F.round(d, 5).alias("dist"))
+        return x.join(y, "dst").select("src", "dst", F.round(d, 5).alias("dist"))
 
     return run
 
@@ -160,8 +160,7 @@ QUERIES: dict[str, Query] = {
     "log1p10": _query(lambda t: M.log1p10(M.normalise(t.new, None)).select("obs", "feature", _r("value"))),
     "weighted_moments": _query(lambda t: M.moments(t.vectors.withColumn("w", F.col("id") % 5 + 1), "w").select(_long("pos"), _r("mean"), _r("sd"))),
     "standardise": _query(lambda t: M.standardise(t.vectors, M.moments(t.vectors)).select("id", F.posexplode("v").alias("pos", "x")).select("id", _long("pos"), _r("x"))),
-    "replicate_by_size": _query(lambda t: M.replicate(C.label_counts(t.obs).withColumn("n_cells", F.col("n_cells") % 7 + 1)).select("label", _long("replica"), "name")),
-    "replicate_by_real_size": _query(lambda t: M.replicate(C.label_counts(t.obs)).select("label", _long("replica"), "name")),
+    "replicate_by_size": _query(lambda t: M.replicate(C.label_counts(t.obs)).select("label", _long("replica"), "name")),
     "pca_unweighted": _query(_pca),
     "pca_distances": _pca_distances(None),
     "pca_weighted_distances": _pca_distances("w"),
@@ -274,8 +273,7 @@ SQL: dict[str, str] = {
     "log1p10": "SELECT obs, feature, round(ln(1 + 1e6 * value / coverage) / ln(10), 6) AS value FROM nw JOIN cov USING (obs)",
     "weighted_moments": "SELECT pos, round(s / n, 6) AS mean, round(sqrt(greatest(q / n - (s / n) ** 2, 0)), 6) AS sd FROM (SELECT pos, sum(w) AS n, sum(w * x) AS s, sum(w * x * x) AS q FROM (SELECT (id % 5 + 1)::DOUBLE AS w, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v) GROUP BY pos)",
     "standardise": "SELECT id, pos, round(CASE WHEN sd < 1e-12 THEN 0 ELSE (x - mean) / sd END, 6) AS x FROM (SELECT id, pos, x, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v) WINDOW w AS (PARTITION BY pos))",
-    "replicate_by_size": "SELECT label, replica, label || '_' || replica AS name FROM (SELECT label, unnest(range(1, n_cells % 7 + 2)) AS replica FROM cnt)",
-    "replicate_by_real_size": "SELECT label, replica, label || '_' || replica AS name FROM (SELECT label, unnest(range(1, n_cells + 1)) AS replica FROM cnt)",
+    "replicate_by_size": "SELECT label, replica, label || '_' || replica AS name FROM (SELECT label, unnest(range(1, n_cells + 1)) AS replica FROM cnt)",
     "knn_external": "," + _near("correlation", _EXT, 0.9) + _KN,
     "knn_out_of_atlas": ", f AS (SELECT label, min(id) AS src FROM v WHERE label IS NOT NULL GROUP BY 1), "
     + _near("correlation", "x.id IN (SELECT src FROM f) AND y.label IS NULL", 0.9, 3, "ko")
@@ -284,7 +282,7 @@ SQL: dict[str, str] = {
     "combine_prefixed_names": "SELECT DISTINCT label AS obs, dataset FROM both_atlases",
     "weighted_covariance": ", u AS (SELECT id, (id % 5 + 1)::DOUBLE AS w, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v) "
     "SELECT p.pos AS a, q.pos AS b, round((sum(p.w * p.x * q.x) - sum(p.w * p.x) * sum(p.w * q.x) / sum(p.w)) / (sum(p.w) - 1), 6) AS cov FROM u p JOIN u q ON p.id = q.id AND p.pos <= q.pos GROUP BY 1, 2",
-    **{name: f"SELECT x.id AS src, y.id AS dst, round({DIST['sqeuclidean']}, 5) AS dist FROM v x JOIN v y ON x.id < 8 AND x.id <> y.id" for name in ("pca_distances", "pca_weighted_distances")},
+    **{name: f"SELECT x.id AS src, y.id AS dst, round({DIST['sqeuclidean']}, 5) AS dist FROM v x JOIN v y ON y.id = x.id + 1" for name in ("pca_distances", "pca_weighted_distances")},
     "label_agreement": "," + _near("correlation", _EXT, 0.9, 1) + ", b AS (SELECT y.label AS annotation, e.label::VARCHAR AS label FROM kn JOIN v y ON y.id = kn.dst JOIN embeddings e ON e.vec_id = kn.src WHERE e.label IS NOT NULL) "
     "SELECT count(*) AS n, count(*) FILTER (annotation = label) AS agree, round(count(*) FILTER (annotation = label) / count(*), 6) AS share FROM b",
     "knn_external_mutual": "," + _near("correlation", _EXT, 0.9) + "," + _near("correlation", _BACK, 0.9, 5, "kb") + _KN + " WHERE EXISTS (SELECT 1 FROM kb WHERE kb.src = kn.dst AND kb.dst = kn.src)",

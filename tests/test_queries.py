@@ -70,5 +70,5 @@ def test_tsne_layout(spark, monkeypatch):
 def test_replicas_are_as_many_as_labelled_observations(spark, db, sf_dir):
     sizes = dict(db.execute("SELECT c_mktsegment, count(*) FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1").fetchall())
     assert max(sizes.values()) > 7
-    rows = QUERIES["replicate_by_real_size"](spark, sf_dir).collect()
+    rows = QUERIES["replicate_by_size"](spark, sf_dir).collect()
     assert {(r["label"], r["replica"]) for r in rows} == {(label, i + 1) for label, n in sizes.items() for i in range(n)} and len(rows) == sum(sizes.values())
