@@ -1,6 +1,7 @@
 """WARC archives as a PySpark Python data source, with revisit records for repeated payloads.
 
-Reading: one input partition a file; filters on record_type and on header columns are pushed down and decided
+Reading: an input partition is a file, or several where files are small for the number of tasks (``read_warc``
+gives that); filters on record_type and on header columns are pushed down and decided
 from a record's headers, and the block of a record that fails is stepped over without being read (in
 uncompressed files) or decoded.  Without the option ``payload`` = true no payload is read at all, only the HTTP
 header.  Writing: each task writes files of its own name, and the list of files of the tasks that committed is
@@ -16,7 +17,6 @@ A file that ends inside a record gives the records before it.
 
 from __future__ import annotations
 
-import base64
 import gzip
 import json
 import re
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from tessera.llm._store import file_key, new_folder, quoted, written
+from tessera.llm._store import file_key, new_folder, quoted, small_batches, written
 
 SCHEMA = "record_id string, record_type string, date string, target_uri string, payload_digest string, refers_to string, content_length long, payload_bytes long, payload binary"
 #: Column to WARC header, for those that come straight from one.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "date": "warc-date", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 FILES = "_files.json"
 BATCH_BYTES = 8 << 20
+#: Most bytes of files that share a partition, and what opening a file counts as.
+PART_BYTES, OPEN_BYTES = 128 << 20, 64 << 10
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -43,12 +45,12 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class FilePart(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uris: list[str]):
+        self.uris = uris
 
 
 class WarcSource(DataSource):
-    """Options: path (file or folder), payload (true: read payloads)."""
+    """Options: path (file or folder), payload (true: read payloads), tasks (small files share so many partitions, or some more)."""
 
     @classmethod
     def name(cls) -> str:
@@ -68,6 +70,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "false").lower() == "true"
+        self.tasks = int(options.get("tasks", "0"))
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters) -> Iterator:
@@ -82,7 +85,7 @@ class WarcReader(DataSourceReader):
         system, path = _open(self.path)
         info = system.get_file_info(path)
         if info.type == fs.FileType.File:
-            return [FilePart(self.path)]
+            return [FilePart([self.path])]
         base = self.path.rstrip("/")
         listed = f"{path.rstrip('/')}/{FILES}"
         if system.get_file_info(listed).type == fs.FileType.File:
@@ -91,12 +94,26 @@ class WarcReader(DataSourceReader):
         else:
             found = system.get_file_info(fs.FileSelector(path, recursive=True))
             names = sorted(x.path[len(path.rstrip("/")) + 1 :] for x in found if x.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path))
-        return [FilePart(f"{base}/{n}") for n in names]
+        if not self.tasks or len(names) <= self.tasks:
+            return [FilePart([f"{base}/{n}"]) for n in names]
+        sizes = [(x.size or 0) + OPEN_BYTES for x in system.get_file_info([f"{path.rstrip('/')}/{n}" for n in names])]
+        most = min(PART_BYTES, -(-sum(sizes) // self.tasks))
+        parts: list[FilePart] = []
+        weight = most
+        for size, name in sorted(zip(sizes, names, strict=True), reverse=True):
+            if weight + size > most:
+                parts.append(FilePart([]))
+                weight = 0
+            parts[-1].uris.append(f"{base}/{name}")
+            weight += size
+        return parts
 
     def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # an archive without files
-            return
-        system, path = _open(partition.uri)
+        for uri in partition.uris if partition is not None else ():  # None: an archive without files
+            yield from self._file(uri)
+
+    def _file(self, uri: str) -> Iterator[pa.RecordBatch]:
+        system, path = _open(uri)
         if path.endswith(".gz"):
             with system.open_input_stream(path, compression=None) as raw:
                 yield from self._batches(gzip.GzipFile(fileobj=raw), None)
@@ -278,19 +295,22 @@ def record(row) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + http + payload + b"\r\n\r\n"
 
 
-def _base32(digests):
-    return digests.map(lambda h: "sha1:" + base64.b32encode(bytes.fromhex(h)).decode())
+def _base32(digest):
+    """The base-32 form of a hexadecimal SHA-1: each ten digits are eight of base 32, in another alphabet."""
+    parts = [F.lpad(F.conv(F.substring(digest, i, 10), 16, 32), 8, "0") for i in range(1, 40, 10)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("tasks", 2 * spark.sparkContext.defaultParallelism).load(path)
 
 
 def archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Writes one record a page below ``path``; compression is gzip or none."""
     spark = pages.sparkSession
+    small_batches(spark)
     html = F.coalesce(quoted(pages, html_col).cast("string"), F.lit("")).cast("binary")
     key = file_key(pages)
     base = pages.select((F.monotonically_increasing_id() if key is None else key).alias("row"), quoted(pages, id_col).cast("long").alias("id"), quoted(pages, url_col).cast("string").alias("url"), html.alias("payload"))
@@ -301,14 +321,13 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page
     first = narrow.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     revisits = narrow.join(first.select("digest", "first"), "digest").where("row <> first.row and n >= " + str(min_bytes)).select("row", F.struct("first.id", "first.row").alias("first"))
     name = lambda key, row: F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.concat(F.lit("none-"), row.cast("string"))), F.lit(">"))
-    digest = F.pandas_udf(_base32, "string")
     revisit = F.col("first").isNotNull()
     records = base.join(revisits, "row", "left").select(
         name(F.col("id"), F.col("row")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.lit(date).alias("date"),
         F.col("url").alias("target_uri"),
-        digest(F.sha1("payload")).alias("payload_digest"),
+        F.concat(F.lit("sha1:"), _base32(F.sha1("payload"))).alias("payload_digest"),
         F.when(revisit, name(F.col("first.id"), F.col("first.row"))).alias("refers_to"),
         F.lit(0).cast("long").alias("content_length"),
         F.length("payload").cast("long").alias("payload_bytes"),

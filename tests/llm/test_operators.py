@@ -219,6 +219,22 @@ def test_warc(spark, tmp_path, compression):
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_small_files_share_tasks(spark, tmp_path):
+    for i in range(60):
+        row = {"record_type": "response", "record_id": f"<urn:page:{i}>", "date": "d", "target_uri": None, "payload_digest": "sha1:A", "refers_to": None, "payload": b"x" * i, "payload_bytes": i}
+        (tmp_path / f"{i}.warc").write_bytes(warc.record(row) + warc.record(row | {"record_id": f"<urn:page:{60 + i}>", "record_type": "revisit", "refers_to": f"<urn:page:{i}>"}))
+    records = warc.read_warc(spark, f"file://{tmp_path}", payload=True)
+    assert records.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 60
+    got = records.select(warc.page_of("record_id"), "payload_bytes", "payload", warc.page_of("refers_to")).collect()
+    assert sorted((a, b, c and bytes(c), d) for a, b, c, d in got) == sorted([*((i, i, b"x" * i, None) for i in range(60)), *((60 + i, i, None, i) for i in range(60))])
+
+
+def test_warc_digests_without_python(spark):
+    hexes = ["0" * 39 + "1", "f" * 40, *(hashlib.sha1(bytes([i])).hexdigest() for i in range(50))]
+    got = spark.createDataFrame([(h,) for h in hexes], "h string").select("h", warc._base32(F.col("h")).alias("d")).collect()
+    assert all(r["d"] == base64.b32encode(bytes.fromhex(r["h"])).decode() for r in got) and len(got) == 52
+
+
 def test_token_counts(docs, texts, empty):
     tokenizers = pytest.importorskip("tokenizers")
     pieces = token_counts.load_pieces()
