@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
-from tessera.llm._store import REST, ROW, keyed, original, quoted, written
+from tessera.llm._store import REST, ROW, keyed, original, quoted, releasing, written
 
 #: Most bytes of item texts that go to every task at once.
 PART_BYTES = 8 << 20
@@ -111,7 +111,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array([0, part.n], pa.int32()), batch.column(1).slice(part.first, part.n))
                 yield pa.record_batch([lists[0], ids, *lists[1:]], ["rows", "ids", "lengths", "terms", "counts", "positions"])
 
-    return written(docs.select(ROW, "doc_id", "text").mapInArrow(rows, INDEX), "postings")
+    return written(docs.select(ROW, "doc_id", "text").mapInArrow(releasing(rows), INDEX), "postings")
 
 
 def term_counts(index: DataFrame, size: int) -> np.ndarray:
@@ -239,7 +239,7 @@ def phrase_matches(index: DataFrame, items: Items, window: int = 10) -> DataFram
             ids = [[held.ids[i] for i in sorted(h)] for h in hits]
             yield pa.record_batch([pa.array(block.rows), block.ids, pa.array(np.diff(block.offsets)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.int64()))], [ROW, "doc_id", "n_words", "spans", "items"])
 
-    return index.mapInArrow(rows, MATCHES)
+    return index.mapInArrow(releasing(rows), MATCHES)
 
 
 def proximity_matches(index: DataFrame, items: Items, span: int = 20) -> DataFrame:

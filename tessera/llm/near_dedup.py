@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as T
-from tessera.llm._store import REST, ROW, discard, keyed, original, written
+from tessera.llm._store import REST, ROW, discard, keyed, original, releasing, written
 
 SHINGLE = 5
 REGISTERS, REGISTER_BITS = 128, 7
@@ -138,7 +138,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 columns = [batch.column(0).slice(part.first, part.n), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), sketch.cast(pa.binary())]
                 yield pa.record_batch(columns, [ROW, "n_shingles", "print_a", "print_b", "sketch"])
 
-    return docs.mapInArrow(rows, SKETCHES)
+    return docs.mapInArrow(releasing(rows), SKETCHES)
 
 
 def band_members(sets: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def nominated(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
     # Both sides grow with the input, so the joins are by shuffle at any size.
     both = best.join(of("other").hint("merge"), "other").join(of("lead").hint("merge"), "lead")
-    return both.select("lead", "other", "n_lead", "n_other", "sketch_lead", "sketch_other").mapInArrow(rows, "lead long, other long")
+    return both.select("lead", "other", "n_lead", "n_other", "sketch_lead", "sketch_other").mapInArrow(releasing(rows), "lead long, other long")
 
 
 def _confirm_rows(threshold: float):
@@ -204,9 +204,9 @@ def _confirm_rows(threshold: float):
     return rows
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst): the pairs whose full sets have the similarity."""
-    pairs = written(pairs, "pairs")
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, rows: int | None = None) -> DataFrame:
+    """(src, dst): the pairs, about ``rows``, whose full sets have the similarity."""
+    pairs = written(pairs, "pairs", rows)
     chunks = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
     part = F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int")
     asked = pairs.join(chunks, "lead").select("lead", part.alias("chunk"), F.col("other").alias(ROW))
@@ -214,15 +214,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     wanted = asked.unionByName(leads).groupBy(ROW).agg(F.collect_list(F.struct("lead", "chunk")).alias("to"))
     texts = docs.select(ROW, "text").join(wanted.hint("merge"), ROW).select(ROW, "text", F.explode("to").alias("t")).select("t.lead", "t.chunk", ROW, "text")
     texts = texts.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col(ROW) != F.col("lead"))
-    links = written(texts.mapInArrow(_confirm_rows(threshold), "src long, dst long"), "links")
+    links = written(texts.mapInArrow(releasing(_confirm_rows(threshold)), "src long, dst long"), "links")
     discard(pairs)
     return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp), written: the smallest node that each linked node can reach."""
-    edges = written(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
+    edges = written(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "edges", links.count())
+    rows, mark = edges.count(), None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -230,14 +230,14 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        before, edges = edges, written(small, "edges")
+        before, edges = edges, written(small, "edges", rows)
         discard(before)
         found = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == mark:
             break
-        mark = found
+        rows, mark = found[0], found
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    out = written(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components")
+    out = written(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components", 2 * rows)
     discard(edges)
     return out
 
@@ -423,14 +423,14 @@ def crossing_links(members: DataFrame, sets: DataFrame, comps: DataFrame, docs:
     several = several.select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = _dealt(placed, several).join(sets.select(ROW, "n_shingles", "sketch"), ROW)
     dealt = dealt.select("key", "p", "q", ROW, "block", "n_shingles", "sketch", "comp").repartition(*PLACE).sortWithinPartitions(*PLACE)
-    active = written(dealt.mapInArrow(_active_rows(threshold), f"key long, {ROW} long").distinct(), "active")
+    active = written(dealt.mapInArrow(releasing(_active_rows(threshold)), f"key long, {ROW} long").distinct(), "active", members.count())
     held = active.join(comps.withColumnRenamed("node", ROW), ROW, "left").join(sets.select(ROW, "n_shingles"), ROW).select("key", ROW, F.coalesce("comp", ROW).alias("comp"), "n_shingles")
     blocks = held.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     wanted = _dealt(held, blocks).groupBy(ROW, "n_shingles", "comp").agg(F.collect_list(F.struct("key", "p", "q", "block")).alias("to"))
     texts = wanted.join(sets.select(ROW, "sketch").hint("merge"), ROW).join(docs.select(ROW, "text").hint("merge"), ROW)
     texts = texts.select(ROW, "n_shingles", "comp", "sketch", "text", F.explode("to").alias("t")).select("t.*", ROW, "n_shingles", "sketch", "comp", "text")
     texts = texts.repartition(*PLACE).sortWithinPartitions(*PLACE)
-    links = written(texts.mapInArrow(_link_rows(threshold), "src long, dst long"), "links")
+    links = written(texts.mapInArrow(releasing(_link_rows(threshold)), "src long, dst long"), "links")
     discard(active)
     return links
 
@@ -448,9 +448,10 @@ def _near_duplicates(rows: DataFrame, threshold: float) -> DataFrame:
     made = written(sketches(rows.select(ROW, "text")), "sketches")
     prints = ["n_shingles", "print_a", "print_b"]
     sets = made.where("n_shingles > 0").groupBy(*prints).agg(F.min(F.struct(ROW, "sketch")).alias("s"))
-    sets = written(sets.select(f"s.{ROW}", *prints, "s.sketch"), "sets")
-    members = written(band_members(sets), "members")
-    links = confirmed(nominated(members, sets, threshold), rows, threshold)
+    n = made.count()
+    sets = written(sets.select(f"s.{ROW}", *prints, "s.sketch"), "sets", n)
+    members = written(band_members(sets), "members", BANDS * n)
+    links = confirmed(nominated(members, sets, threshold), rows, threshold, n)
     comps = components(links)
     more = crossing_links(members, sets, comps, rows, threshold)
     discard(members, comps)
@@ -461,7 +462,7 @@ def _near_duplicates(rows: DataFrame, threshold: float) -> DataFrame:
     group = made.select(ROW, *prints).join(same, prints, "left").select(ROW, "n_shingles", F.coalesce("comp", ROW).alias("comp"))
     named = rows.select(ROW, "doc_id").join(group, ROW)
     # The smallest id of each component, and the first row that has it.
-    least = written(named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("m")), "least")
+    least = written(named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("m")), "least", n)
     out = named.join(least, "comp")
     return out.select(ROW, "doc_id", "n_shingles", F.col("m.doc_id").alias("component_id"), (F.col(ROW) == F.col(f"m.{ROW}")).alias("kept"))
 

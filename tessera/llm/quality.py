@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm._store import quoted, small_batches
+from tessera.llm._store import quoted, releasing, small_batches
 
 BLOCK = 1024
 LEVEL = 3
@@ -182,7 +182,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             scores = held.scores([t.as_buffer().to_pybytes() for t in batch.column(1)], compressors)
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], ["_rest", "score"])
 
-    return packed.mapInArrow(rows, StructType([packed.schema["_rest"], StructField("score", DoubleType())]))
+    return packed.mapInArrow(releasing(rows), StructType([packed.schema["_rest"], StructField("score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:

@@ -178,3 +178,35 @@ def test_results_stay_when_partitions_change(spark, folder, name):
 def test_empty_input(spark, folder, name):
     table = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
     assert OPERATORS[name](written(table("documents").limit(0), "none"), table).count() == 0
+
+
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    """Tables of a few hundred rows take two files a core at most, however many partitions a shuffle has.
+
+    Not so the links: their tasks compare texts, and keep the partitions.
+    """
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghij", k=40)) for _ in range(60)]
+    texts += [" ".join(["new", *t.split()[1:]]) for t in texts[:40]] + texts[:10]
+    files = {}
+
+    def counted(df, name, *sizes):
+        out = written(df, name, *sizes)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i if i < 60 else i - 60 if i < 100 else i - 100 for i in range(len(texts))}
+    small = {"sets", "members", "pairs", "edges", "components", "active", "least"}
+    assert small <= files.keys()
+    assert max(files[name] for name in small) <= 2 * spark.sparkContext.defaultParallelism, files
