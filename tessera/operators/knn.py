@@ -1,9 +1,9 @@
 """Exact nearest neighbours in blocks, similarity graphs and principal components.
 
-All-pairs distances are worked out block against block: rows are gathered in blocks of BLOCK vectors, every
-block of queries meets every block of candidates in some task, and only the k best of each pair of blocks leave
-it.  The smaller side is broadcast up to BROADCAST_BYTES, so the other streams past it and only the best are
-shuffled; beyond that memory is two blocks a task, whatever the number of rows.
+All-pairs distances are worked out block against block: rows are gathered in blocks of BLOCK vectors, and a block of
+queries meets the candidates of a partition one block after the other, behind a screen (``tessera.operators.screen``).
+Only the k best of a query leave the task, so what is shuffled grows with the rows and not with their pairs; memory is
+two blocks and a partition of PART_BYTES of candidates.
 """
 
 from __future__ import annotations
@@ -16,11 +16,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-BLOCK = 512
+from tessera.operators.screen import Best
+
+BLOCK = 4096
+#: Smallest block of queries, where there are few.
+LEAST_BLOCK = 64
 #: Differences worked out at once.
 TILE = 1 << 18
-#: Vectors up to so many bytes are sent to every task.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of candidates a partition.
+PART_BYTES = 64 << 20
+#: Labelled rows that one share of the cliques has.
+SHARE = 4096
 METRICS = ("correlation", "cosine", "euclidean", "sqeuclidean", "cityblock", "chebyshev", "canberra", "braycurtis", "minkowski")
 
 
@@ -58,14 +64,38 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _blocked(rows: DataFrame, name: str, n: int) -> DataFrame:
-    keyed = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), "id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    return keyed.groupBy("b").agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v")).drop("b")
+def _spare(candidates: DataFrame, k: int) -> DataFrame:
+    """Of candidates with equal vectors the k + 1 smallest ids; no others can be among the k best of any query."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    return candidates.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).drop("_rank")
+
+
+def _blocked(rows: DataFrame, n_blocks: int, parts: int) -> DataFrame:
+    """(ids, v): blocks of at most BLOCK rows as bytes, dealt over so many partitions."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def block() -> pa.RecordBatch:
+            ids, v = (np.concatenate(x) for x in zip(*held))
+            return pa.record_batch([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["ids", "v"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                if n and n + part.num_rows > BLOCK:
+                    yield block()
+                    held, n = [], 0
+                held.append((part.column(0).to_numpy(), vectors_of(part.column(1))))
+                n += part.num_rows
+        if n:
+            yield block()
 
-def _bytes(rows: DataFrame) -> tuple[int, int]:
-    found = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
-    return found[0], 8 * found[1]
+    return rows.repartition(n_blocks).mapInArrow(pack, "ids binary, v binary").repartition(parts)
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    return rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "correlation", threshold: float | None = None) -> DataFrame:
@@ -77,26 +107,27 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "co
     limit = np.inf if threshold is None else threshold
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block of queries meets all candidates of the partition in a row; the state goes by blocks, should it not.
+        asked: dict[int, Best] = {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q, c_ids, c = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(4))
-                found = np.round(distances(q.reshape(len(q_ids), -1), c.reshape(len(c_ids), -1), metric), 9)
-                found[(q_ids[:, None] == c_ids[None, :]) | ~(found <= limit)] = np.inf
-                order = np.argsort(c_ids, kind="stable")
-                found, c_ids = found[:, order], c_ids[order]
-                best = np.argsort(found, axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(found, best, axis=1)
-                row, col = np.nonzero(np.isfinite(d))
-                yield pa.record_batch([pa.array(q_ids[row]), pa.array(c_ids[best[row, col]]), pa.array(d[row, col])], ["src", "dst", "dist"])
-
-    (n_q, b_q), (n_c, b_c) = _bytes(queries), _bytes(candidates)
-    asked, held = _blocked(queries, "q", -(-n_q // BLOCK) or 1), _blocked(candidates, "c", -(-n_c // BLOCK) or 1)
-    # The smaller side goes to every task if it is small; else both are dealt by blocks.
-    if min(b_q, b_c) <= BROADCAST_BYTES:
-        pairs = held.crossJoin(F.broadcast(asked)) if b_q <= b_c else asked.crossJoin(F.broadcast(held))
-    else:
-        pairs = asked.crossJoin(held)
-    found = pairs.select("q_ids", "q_v", "c_ids", "c_v").mapInArrow(rows, "src long, dst long, dist double")
+            for q_ids, q, c_ids, c in zip(*(batch.column(j) for j in range(4))):
+                q_ids, c_ids = (np.frombuffer(x.as_buffer(), np.int64) for x in (q_ids, c_ids))
+                if q_ids[0] not in asked:
+                    asked[q_ids[0]] = Best(q_ids.copy(), np.frombuffer(q.as_buffer()).reshape(len(q_ids), -1).copy(), k, metric, limit)
+                asked[q_ids[0]].meet(c_ids, np.frombuffer(c.as_buffer()).reshape(len(c_ids), -1))
+        for best in asked.values():
+            yield pa.record_batch([pa.array(x) for x in best.found()], ["src", "dst", "dist"])
+
+    queries, candidates = (x.select(F.col("id").cast("long").alias("id"), F.transform("v", lambda y: y.cast("double")).alias("v")) for x in (queries, candidates))
+    candidates = _spare(candidates, k)
+    (n_q, _), (n_c, width) = _sizes(queries), _sizes(candidates)
+    # Blocks of queries enough for all cores; candidates in partitions of PART_BYTES, each of which leaves k of a query.
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    n_q = max(-(-n_q // BLOCK), min(4 * cores, n_q // LEAST_BLOCK), 1)
+    parts = -(-8 * width * n_c // PART_BYTES) or 1
+    asked, held = _blocked(queries, n_q, n_q), _blocked(candidates, -(-n_c // BLOCK) or 1, parts)
+    pairs = asked.select(F.col("ids").alias("q_ids"), F.col("v").alias("q")).hint("shuffle_replicate_nl").crossJoin(held.select(F.col("ids").alias("c_ids"), F.col("v").alias("c")))
+    found = pairs.mapInArrow(rows, "src long, dst long, dist double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))
     return ranked.where(F.col("rank") <= k)
 
@@ -120,10 +151,15 @@ def from_matrix(spark: SparkSession, matrix, ids: list[int]) -> DataFrame:
 
 
 def replica_cliques(rows: DataFrame) -> DataFrame:
-    """(src, dst): every two rows of a label, the smaller id first."""
-    labelled = rows.where("label is not null")
-    a, b = (labelled.select("label", F.col("id").alias(x)) for x in ("src", "dst"))
-    return a.join(b, "label").where("src < dst").select("src", "dst")
+    """(src, dst): every two rows of a label, the smaller id first.
+
+    A label's rows meet in shares of some SHARE of them, so that a large label isn't one task.
+    """
+    labelled = rows.where("label is not null").select("label", "id")
+    n = -(-labelled.count() // SHARE) or 1
+    a = labelled.select("label", F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("share"))
+    b = labelled.select("label", F.col("id").alias("dst"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("share"))
+    return a.join(b, ["label", "share"]).where("src < dst").select("src", "dst")
 
 
 def out_of_atlas(rows: DataFrame, k: int, metric: str, threshold: float) -> DataFrame:
@@ -137,7 +173,8 @@ def graph_average(rows: DataFrame, k: int, k_out: int, metric: str, threshold: f
     labelled, new = rows.where("label is not null"), rows.where("label is null")
     out = out_of_atlas(rows, k_out, metric, threshold).select("label", "dst")
     out = out.join(labelled.select("label", F.col("id").alias("src")), "label").select("src", "dst")
-    return undirected(replica_cliques(rows).unionByName(out).unionByName(nearest(new, rows, k, metric, threshold).select("src", "dst")))
+    # Cliques are between labelled rows, the others have a new one: only these can be there twice.
+    return replica_cliques(rows).unionByName(undirected(out.unionByName(nearest(new, rows, k, metric, threshold).select("src", "dst"))))
 
 
 def external_neighbours(rows: DataFrame, k: int, metric: str, threshold: float, mutual: bool = False) -> DataFrame:
