@@ -1,10 +1,14 @@
 """What has to hold at any size: no more leaves a task than is kept, and nothing is refused for its size."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 
+from tessera.operators import embed
 from tessera.operators import knn as N
 from tessera.operators import screen
+from tessera.plans import queries as plans
 
 
 def _brute(q_ids, q, c_ids, c, k, metric, limit=np.inf):
@@ -63,3 +67,32 @@ def test_cliques_are_not_compared_with_each_other(spark, monkeypatch):
     assert graph._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # what sorts out double edges is below, for the others
     got = [tuple(r) for r in graph.collect()]
     assert len(got) == len(set(got)) and {(a, b) for a in range(40) for b in range(a + 2, 40, 2)} <= set(got)
+
+
+def test_grid_pushes_as_all_pairs_do():
+    y = np.random.default_rng(5).normal(size=(800, 2)) * [1, 6]
+    d = y[:, None] - y[None]
+    q = 1 / (1 + (d**2).sum(axis=2))
+    push, total = embed._repulsion(y)
+    want = (q * q)[:, :, None] * d
+    assert abs(total / (q.sum() - 800) - 1) < 1e-3
+    assert np.abs(push - want.sum(axis=1)).max() < 0.01 * np.abs(want.sum(axis=1)).max()
+
+
+def test_large_tsne_keeps_groups_apart(spark, monkeypatch):
+    monkeypatch.setattr(embed, "PAIRS", 1 << 11)  # several blocks
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(3 * i, rng.normal(20.0 * (i % 2), 1, 5).tolist()) for i in range(120)], "id long, v array<double>")
+    got = {r["id"]: (r["dim_1"], r["dim_2"]) for r in embed.spread(rows, perplexity=8, steps=60).collect()}
+    assert sorted(got) == [3 * i for i in range(120)]
+    a, b = (np.array([got[3 * i] for i in range(120) if i % 2 == x]) for x in (0, 1))
+    assert np.linalg.norm(a.mean(axis=0) - b.mean(axis=0)) > 2 * max(x.std() for x in (a, b))
+
+
+def test_tsne_query_beyond_one_task(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(embed, "MOST_ROWS", 100)  # sf0.001 has more rows; the query used to fail
+    monkeypatch.setattr(embed, "spread", partial(embed.spread, steps=2))
+    rows = plans.queries()["embed_tsne"](spark, sf_dir).collect()
+    new = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 5 = 0").count()
+    assert sum(r["dataset"] == "New" for r in rows) == new and len(rows) > 100
+    assert all(np.isfinite([r["dim_1"], r["dim_2"]]).all() and r["label"] for r in rows)
