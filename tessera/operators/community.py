@@ -147,6 +147,9 @@ def _move(graph: _Graph, fixed: np.ndarray, comm: np.ndarray, state: _State, rng
         members[c] += 1
         e[c] += own[v] + sum(graph.weights[i] for i in range(graph.pointer[v], graph.pointer[v + 1]) if graph.ends[i] < v and place[graph.ends[i]] == c)
     state.inner, state.pairs = sum(e), sum(x * (x - 1) / 2 for x in s)
+    ends, weights, pointer, term = graph.ends, graph.weights, graph.pointer, state.term
+    alone = state.metric != "surprise"  # communities' terms add up, so each is worked out once until it changes
+    terms = [term(*x) for x in zip(e, s, k)] if alone else []
     empty = [c for c in range(n) if not members[c]]
     part = within.tolist() if within is not None else None
     still = (~fixed).tolist()
@@ -164,20 +167,23 @@ def _move(graph: _Graph, fixed: np.ndarray, comm: np.ndarray, state: _State, rng
         if part is not None and members[c] > 1:
             continue
         links: dict[int, float] = {}
-        for i in range(graph.pointer[v], graph.pointer[v + 1]):
-            u = graph.ends[i]
+        for i in range(pointer[v], pointer[v + 1]):
+            u = ends[i]
             if part is None or part[u] == part[v]:
-                links[place[u]] = links.get(place[u], 0.0) + graph.weights[i]
+                links[place[u]] = links.get(place[u], 0.0) + weights[i]
         now = (e[c], s[c], k[c])
         left = (e[c] - own[v] - links.get(c, 0.0), s[c] - size[v], k[c] - degree[v])
         targets = sorted(x for x in links if x != c)
         if members[c] > 1 and part is None:
             targets.append(empty[-1])
         best, to = 1e-9, c
+        rest = term(*left) if alone else 0.0
         for x in targets:
-            have = (e[x], s[x], k[x])
             got = (e[x] + own[v] + links.get(x, 0.0), s[x] + size[v], k[x] + degree[v])
-            gain = state.gain([now, have], [left, got])
+            if alone:
+                gain = (rest + term(*got)) - (terms[c] + terms[x])
+            else:
+                gain = state.gain([now, (e[x], s[x], k[x])], [left, got])
             if gain > best:
                 best, to = gain, x
         if to == c:
@@ -190,6 +196,8 @@ def _move(graph: _Graph, fixed: np.ndarray, comm: np.ndarray, state: _State, rng
         e[c], s[c], k[c] = left
         s[to] += size[v]
         k[to] += degree[v]
+        if alone:
+            terms[c], terms[to] = rest, term(e[to], s[to], k[to])
         state.inner += e[c] + e[to]
         state.pairs += (s[c] * (s[c] - 1) + s[to] * (s[to] - 1)) / 2
         members[c] -= 1

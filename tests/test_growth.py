@@ -5,6 +5,7 @@ from functools import partial
 import numpy as np
 import pytest
 
+from tessera.operators import community as K
 from tessera.operators import embed
 from tessera.operators import knn as N
 from tessera.operators import screen
@@ -96,3 +97,15 @@ def test_tsne_query_beyond_one_task(spark, sf_dir, monkeypatch):
     new = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 5 = 0").count()
     assert sum(r["dataset"] == "New" for r in rows) == new and len(rows) > 100
     assert all(np.isfinite([r["dim_1"], r["dim_2"]]).all() and r["label"] for r in rows)
+
+
+def test_a_move_works_out_a_communitys_term_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = np.unique(np.sort(rng.integers(0, 200, (900, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    ids, labels = np.arange(200), np.array([None] * 200, object)
+    counted, tried, term, gain = [], [], K._State.term, K._State.gain
+    monkeypatch.setattr(K._State, "term", lambda self, *x: counted.append(1) or term(self, *x))
+    monkeypatch.setattr(K._State, "gain", lambda self, *x: tried.append(1) or gain(self, *x))
+    K.detect(ids, labels, pairs[:, 0], pairs[:, 1], "cpm", 0.05, 0)
+    assert counted and not tried  # four terms a community that is tried before
