@@ -388,6 +388,7 @@ def closest_labels(centres: DataFrame, clusters: DataFrame, metric: str = "eucli
     from tessera.operators.knn import nearest
 
     named = centres.withColumn("id", F.row_number().over(Window.orderBy("label")).cast("long"))
-    numbered = mean.withColumn("id", -F.row_number().over(Window.orderBy("cluster")).cast("long"))
+    # Clusters may be many: numbers in no order, without one task for all, and written so that they stay.
+    numbered = written(mean.withColumn("id", -1 - F.monotonically_increasing_id()), "clusters")
     found = nearest(numbered, named, 1, metric)
     return found.join(numbered.select(F.col("id").alias("src"), "cluster"), "src").join(named.select(F.col("id").alias("dst"), "label"), "dst").select("cluster", "label", "dist")

@@ -109,3 +109,12 @@ def test_a_move_works_out_a_communitys_term_once(monkeypatch):
     monkeypatch.setattr(K._State, "gain", lambda self, *x: tried.append(1) or gain(self, *x))
     K.detect(ids, labels, pairs[:, 0], pairs[:, 1], "cpm", 0.05, 0)
     assert counted and not tried  # four terms a community that is tried before
+
+
+def test_clusters_are_numbered_without_one_task_for_all(spark):
+    centres = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [5.0, 5.0])], "label string, v array<double>")
+    clusters = spark.createDataFrame([(str(i), [float(i % 2) * 5 + d, float(i % 2) * 5]) for i in range(40) for d in (0.1, -0.1)], "cluster string, v array<double>")
+    found = K.closest_labels(centres, clusters)
+    assert {r["cluster"]: r["label"] for r in found.collect()} == {str(i): "ab"[i % 2] for i in range(40)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "cluster#" not in "".join(x for x in plan.splitlines() if "row_number()" in x and "src#" not in x)
